@@ -145,6 +145,12 @@ def _matcher(shared, run: int, edits: int):
 
 def _verified(index: _Index, docs: list[list[str]], doc: np.ndarray, at: np.ndarray, item: np.ndarray, pos: np.ndarray, run: int, edits: int) -> set[tuple[int, int]]:
     """(document, item) pairs with a band that keeps enough q-grams and a region in it that aligns."""
+    if not len(doc):
+        return set()
+    # A pair with too few shared q-grams in all has no band with enough.
+    pair = doc * len(index.ids) + item
+    enough = np.bincount(pair)[pair] >= index.least[item]
+    doc, at, item, pos = doc[enough], at[enough], item[enough], pos[enough]
     if not len(doc):
         return set()
     diag = at - pos
