@@ -160,14 +160,14 @@ def _verified(index: _Index, docs: list[list[str]], doc: np.ndarray, at: np.ndar
     for shift in (0, 1):  # two sets of bands, each starting in the middle of the other's
         band = (diag - low + shift * _STEP) // _BAND
         key = (doc * len(index.ids) + item) * n_bands + band
-        order = np.lexsort((pos, key))
+        order = np.argsort(key * (int(pos.max()) + 1) + pos)
         k, p, a = key[order], pos[order], at[order]
         fresh = np.ones(len(k), bool)
         fresh[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])  # an item's q-gram counts once per band
         k, p, a = k[fresh], p[fresh], a[fresh]
         # Most q-grams of the band within any stretch of the item as long as `run` words can be.
         who = k // n_bands % len(index.ids)
-        line = np.unique(k, return_inverse=True)[1] * _FAR + p
+        line = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])]) * _FAR + p
         dense = np.searchsorted(line, line + index.longest[who], side="right") - np.arange(len(line)) >= index.least[who]
         for g in np.flatnonzero(dense):
             d, i = divmod(int(k[g] // n_bands), len(index.ids))
