@@ -90,6 +90,11 @@ def names_excluded(rows: DataFrame, name: str, substrings: tuple[str, ...]) -> D
     return rows.where(~F.coalesce(hit, F.lit(False)))
 
 
+def tokens_excluded(rows: DataFrame, tokens: list[str]) -> DataFrame:
+    """Drop rows with one of the given tokens; null tokens stay."""
+    return rows.where(~F.coalesce(F.col("token").isin(*tokens), F.lit(False)))
+
+
 def first_occurrences(rows: DataFrame, streams: str = "CPD") -> DataFrame:
     """Keep a token (entity, token, visit_idx) only in its earliest visit; streams not listed stay as they are."""
     earliest = F.min("visit_idx").over(W.partitionBy("entity", "token"))

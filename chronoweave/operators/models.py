@@ -34,15 +34,15 @@ def train_tokens(df: DataFrame, tokens: str = "tokens", label: str = "y", featur
     return Pipeline(stages=stages).fit(rows)
 
 
-def train_columns(df: DataFrame, columns: list[str], label: str, kind: str = "linear", standardize: bool = True):
-    """A model over numeric columns: `linear` or `boosted` (200 trees of depth 4, step 0.05)."""
+def train_columns(df: DataFrame, columns: list[str], label: str, kind: str = "linear", standardize: bool = True, trees: int = 200):
+    """A model over numeric columns: `linear` or `boosted` (trees of depth 4, step 0.05)."""
     rows = weighted(df.where(F.col(label).isNotNull()).dropna(subset=columns), label)
     stages = [VectorAssembler(inputCols=columns, outputCol="raw")]
     if standardize:
         stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
     else:
         stages[0].setOutputCol("features")
-    stages.append(LogisticRegression(labelCol=label, weightCol="weight") if kind == "linear" else GBTClassifier(labelCol=label, weightCol="weight", maxIter=200, maxDepth=4, stepSize=0.05, seed=42))
+    stages.append(LogisticRegression(labelCol=label, weightCol="weight") if kind == "linear" else GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.05, seed=42))
     return Pipeline(stages=stages).fit(rows)
 
 

@@ -182,6 +182,8 @@ RAW = {
     "importance_panel": "SELECT kind, name, round(value, 6) AS value, row_number() OVER (ORDER BY abs(value) DESC, kind, name) AS rank FROM (SELECT 'token' AS kind, token AS name, round(avg(s), 9) AS value FROM (SELECT token, split_part(key, '|', 1) AS e, sum(attr) AS s FROM att GROUP BY ALL) GROUP BY token HAVING count(*) >= 10 UNION ALL SELECT 'pattern', pattern_id, round(attr_mean, 9) FROM st) ORDER BY abs(value) DESC, kind, name LIMIT 20",
     "imputed_patterns": "WITH r AS (SELECT sc.pattern_id, sc.odds_ratio > 1 AS g, CASE WHEN n_carriers % 2 = 0 THEN conditional_impact END AS x FROM sc JOIN st USING (pattern_id)) SELECT pattern_id, round(coalesce(x, median(x) OVER (PARTITION BY g), 0), 6) AS conditional_impact FROM r",
     "union_of_tops": "SELECT key, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x)))[1:6], ',') AS tokens FROM (SELECT key, list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(list(token ORDER BY ra) FILTER (ra <= 4), lambda x: [x])), lambda u, x: CASE WHEN list_contains(u, x[1]) THEN u ELSE list_concat(u, x) END) AS a, list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(list(token ORDER BY rb) FILTER (rb <= 4), lambda x: [x])), lambda u, x: CASE WHEN list_contains(u, x[1]) THEN u ELSE list_concat(u, x) END) AS b FROM (SELECT key, token, row_number() OVER (PARTITION BY key ORDER BY round(attr, 9) DESC, pos) AS ra, row_number() OVER (PARTITION BY key ORDER BY abs(round(attr, 9)) DESC, pos) AS rb FROM att) GROUP BY key)",
+    "excluded_tokens": "SELECT count(*) AS n FROM tok WHERE token NOT IN ('C:10_C5860', 'D:RX_450958')",
+    "flat_positions": "WITH ev AS (SELECT key, token, pos, row_number() OVER (PARTITION BY key ORDER BY pos) AS i FROM tok), f AS (SELECT key, min(pos) AS p FROM ev WHERE token = 'C:10_C5860' GROUP BY key), g AS (SELECT ev.key, f.p, min(pos) AS q FROM ev JOIN f ON f.key = ev.key AND token = 'C:10_E612' AND pos > f.p GROUP BY ev.key, f.p), u AS (SELECT x.key, min(x.pos) AS p, arg_min(y.pos, x.pos) AS q FROM ev x JOIN ev y ON x.key = y.key AND y.i = x.i + 1 AND x.token = 'C:10_C5860' AND y.token = 'C:10_E612' GROUP BY x.key) SELECT 'gapped' AS kind, key, p AS first_pos, q AS last_pos FROM g UNION ALL SELECT 'unbroken', key, p, q FROM u UNION ALL SELECT 'ordered', key, p, q FROM g",
     "event_sessions": "SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n_events, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS tokens FROM (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 6 * 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)) GROUP BY user_id, k",
 }
 

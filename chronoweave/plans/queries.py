@@ -683,10 +683,10 @@ def token_model(c: Context) -> DataFrame:
     return Me.auroc(s, F.col("score"), F.col("y"))
 
 
-def _encoded(c: Context) -> tuple[DataFrame, Mo.Encoder]:
-    """All sequences, their tails of 32 tokens, and an untrained encoder."""
+def _encoded(c: Context, length: int = 32) -> tuple[DataFrame, Mo.Encoder]:
+    """All sequences, the first token and the tail of each, and an untrained encoder."""
     v = Co.vocabulary(c.tokens)
-    e = Co.encoded(c.seq.select(F.col("key").alias("entity"), A.tail_truncated(F.col("tokens"), 32).alias("tokens")), v).withColumnRenamed("entity", "key")
+    e = Co.encoded(c.seq.select(F.col("key").alias("entity"), A.tail_truncated(F.col("tokens"), length).alias("tokens")), v).withColumnRenamed("entity", "key")
     return checkpointed(e), Mo.Encoder.random(v.count() + 3, 16, 2, 1)
 
 
@@ -701,6 +701,56 @@ def attention_flow(c: Context) -> DataFrame:
     return Mo.attention_flow(e, Ma.matched_positions(c.patterns, c.tokens), m)
 
 
+@query
+def extended_models(c: Context) -> DataFrame:
+    """Ranking in the sample by a linear and a boosted model over seven features: score parts, age, visits and stay."""
+    cols = ["l", "a", "c", "e", "age", "n_visits", "days"]
+    people = c.cohort.select("visit", "label", "age", "n_visits")
+    rows = checkpointed(people.join(c.risk.select("visit", "l", "a", "c", "e", "days"), "visit").select("label", *[F.col(x).cast("double").alias(x) for x in cols]).dropna())
+    out = None
+    for kind in ("linear", "boosted"):
+        s = Mo.with_score(Mo.train_columns(rows, cols, "label", kind, trees=10), rows)
+        x = Me.auroc(s, F.col("score"), F.col("label")).join(Me.average_precision(s, F.col("score"), F.col("label"))).withColumn("model", F.lit(kind))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query
+def path_attributions(c: Context) -> DataFrame:
+    """Path attributions of the untrained encoder, summed per sequence."""
+    e, m = _encoded(c, 12)
+    return Mo.path_attributions(e, m, 3).groupBy("key").agg(F.count("*").alias("n"), F.sum("attr").alias("attr_sum"))
+
+
+@query
+def kernel_attributions(c: Context) -> DataFrame:
+    """Masked-subset attributions of each sequence's first three events."""
+    e, m = _encoded(c, 12)
+    first = e.select("key", F.explode(F.filter(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda i: i < F.size("input_ids"))).alias("pos"))
+    return Mo.kernel_attributions(e, first, m, 30)
+
+
+@query
+def token_gradients(c: Context) -> DataFrame:
+    e, m = _encoded(c, 8)
+    background = [list(r.input_ids) for r in e.orderBy("key").limit(20).collect()]
+    return Mo.global_gradients(e, m, background)
+
+
+@query
+def excluded_tokens(c: Context) -> DataFrame:
+    return Co.tokens_excluded(c.tokens, ["C:10_C5860", "D:RX_450958"]).agg(F.count("*").alias("n"))
+
+
+@query
+def flat_positions(c: Context) -> DataFrame:
+    """First occurrences of one flat pattern, with gaps and unbroken, and of its item-set reading by position."""
+    p = ["C:10_C5860", "C:10_E612"]
+    found = [Ma.flat_occurrence(c.seq, p, False), Ma.flat_occurrence(c.seq, p, True), Ma.ordered_positions(c.seq, [[p[0]], [p[1]]])]
+    rows = [f.select(F.lit(k).alias("kind"), "key", F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos")) for k, f in zip(("gapped", "unbroken", "ordered"), found)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 # Reports and streaming
 
 
