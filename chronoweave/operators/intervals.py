@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.common import checkpointed
+
 
 def periods_and_gaps(df: DataFrame, entity: Column, start: Column, end: Column, member: Column, bucket_rows: int = 50_000) -> DataFrame:
     """Merge closed intervals per entity and list the gaps.
 
     Every boundary becomes a plus or minus event; events are netted per
-    (entity, instant) before anything is shuffled by entity; a prefix sum of the
-    active count gives, at each instant, whether a period starts (nothing was
-    active before). The instant just before a period's start is the end of the
-    period before it, which gives the gap without another pass.
+    (entity, instant); a prefix sum of the active count gives, at each instant,
+    whether a period starts (nothing was active before). The instant just before
+    a period's start is the end of the period before it, which gives the gap
+    without another pass. Without hot entities the intervals are shuffled once.
 
-    An entity with more than `bucket_rows` instants is swept in time slices:
+    An entity with more than `bucket_rows` boundaries is swept in time slices:
     only slice totals are carried from slice to slice, so no entity is ever
     gathered into one task.
 
@@ -31,31 +33,43 @@ def periods_and_gaps(df: DataFrame, entity: Column, start: Column, end: Column,
     ignored whatever their names.
     """
     x = df.select(entity.alias("e"), F.unix_seconds(start).alias("s"), F.unix_seconds(end).alias("t"), member.cast("string").alias("m")).where("e is not null and s is not null and t >= s")
-    events = x.select("e", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("open"), F.lit(0).alias("close"), "m"), F.struct(F.col("t").alias("at"), F.lit(0).alias("open"), F.lit(1).alias("close"), F.lit(None).cast("string").alias("m")))).alias("v")).select("e", "v.*")
-    net = events.groupBy("e", "at").agg(F.sum("open").alias("open"), F.sum("close").alias("close"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    # Slices: none for ordinary entities; equal time slices for hot ones. Counting them is cheap: counts combine before the shuffle.
+    hot = checkpointed(
+        x.groupBy("e").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("t").alias("b")).where(2 * F.col("n") > bucket_rows)
+        .select("e", "a", ((F.col("b") - F.col("a") + 1) / F.ceil(8 * F.col("n") / bucket_rows)).alias("width"))
+    )
+    n_hot = hot.count()
+    keys = ["e", "k"] if n_hot else ["e"]
+
+    def boundaries(rows: DataFrame) -> DataFrame:
+        both = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("open"), F.lit(0).alias("close"), "m"), F.struct(F.col("t").alias("at"), F.lit(0).alias("open"), F.lit(1).alias("close"), F.lit(None).cast("string").alias("m")))
+        return rows.select("e", F.explode(both).alias("v")).select("e", "v.*")
 
-    # Slices: 0 for ordinary entities; equal time slices for hot ones.
-    hot = net.groupBy("e").agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).where(F.col("n") > bucket_rows)
-    hot = hot.select("e", "a", ((F.col("b") - F.col("a") + 1) / F.ceil(4 * F.col("n") / bucket_rows)).alias("width"))
-    net = net.join(hot, "e", "left").withColumn("k", F.coalesce(F.floor((F.col("at") - F.col("a")) / F.col("width")), F.lit(0))).drop("a", "width")
+    if n_hot:
+        # At most 2 * rows / bucket_rows entities can be hot; sent along only if they are few.
+        slices_of = F.broadcast(hot) if n_hot <= 100_000 else hot
+        events = boundaries(x).join(slices_of, "e", "left").withColumn("k", F.coalesce(F.floor((F.col("at") - F.col("a")) / F.col("width")), F.lit(0))).drop("a", "width")  # netted before the shuffle, as a slice may hold many rows of one instant
+    else:
+        events = boundaries(x.repartition("e"))  # the one shuffle: all that follows is by entity
+    net = events.groupBy(*keys, "at").agg(F.sum("open").alias("open"), F.sum("close").alias("close"), F.min("m").alias("lo"), F.max("m").alias("hi"))
 
-    inside = W.partitionBy("e", "k").orderBy("at")
+    inside = W.partitionBy(*keys).orderBy("at")
     before = inside.rowsBetween(W.unboundedPreceding, -1)
-    carry = W.partitionBy("e").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     delta = F.col("open") - F.col("close")
-    slices = net.groupBy("e", "k").agg(F.sum(delta).alias("d"), F.max("at").alias("last"))
-    slices = slices.join(hot.select("e"), "e", "left_semi").select("e", "k", F.coalesce(F.sum("d").over(carry), F.lit(0)).alias("active0"), F.max("last").over(carry).alias("at0"))
-    swept = (
-        net.withColumn("active", F.coalesce(F.sum(delta).over(before), F.lit(0)))
-        .withColumn("prev", F.lag("at").over(inside))
-        .join(slices, ["e", "k"], "left")
-        .withColumn("active", F.col("active") + F.coalesce("active0", F.lit(0)))
-        .withColumn("prev", F.coalesce("prev", "at0"))
-        .withColumn("begin", F.when(F.col("active") == 0, F.col("at")))
-    )
-    # The period of an event: the last start at or before it, in its slice or carried into it.
-    begun = swept.groupBy("e", "k").agg(F.max("begin").alias("begin")).join(hot.select("e"), "e", "left_semi").select("e", "k", F.max("begin").over(carry).alias("begin0"))
-    swept = swept.withColumn("p", F.max("begin").over(inside.rowsBetween(W.unboundedPreceding, 0))).join(begun, ["e", "k"], "left").withColumn("p", F.coalesce("p", "begin0"))
+    swept = net.withColumn("active", F.coalesce(F.sum(delta).over(before), F.lit(0))).withColumn("prev", F.lag("at").over(inside))
+    if n_hot:
+        carry = W.partitionBy("e").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+        totals = net.groupBy(*keys).agg(F.sum(delta).alias("d"), F.max("at").alias("last")).join(hot.select("e"), "e", "left_semi")
+        totals = totals.select(*keys, F.coalesce(F.sum("d").over(carry), F.lit(0)).alias("active0"), F.max("last").over(carry).alias("at0"))
+        swept = swept.join(totals, keys, "left").withColumn("active", F.col("active") + F.coalesce("active0", F.lit(0))).withColumn("prev", F.coalesce("prev", "at0"))
+    swept = swept.withColumn("begin", F.when(F.col("active") == 0, F.col("at")))
+    period = F.max("begin").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    if not n_hot:
+        swept = swept.withColumn("p", period)
+    else:
+        # The period of an event: the last start at or before it, in its slice or carried into it.
+        begun = swept.groupBy(*keys).agg(F.max("begin").alias("begin")).join(hot.select("e"), "e", "left_semi").select(*keys, F.max("begin").over(carry).alias("begin0"))
+        swept = swept.withColumn("p", period).join(begun, keys, "left").withColumn("p", F.coalesce("p", "begin0"))
     return (
         swept.groupBy("e", "p")
         .agg(F.max("at").alias("end_s"), F.sum("open").alias("n_intervals"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.when(F.col("begin").isNotNull(), F.col("prev"))).alias("gap_from_s"))
