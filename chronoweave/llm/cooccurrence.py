@@ -30,18 +30,24 @@ def cooccurrence(baskets: DataFrame, basket: Column, item: Column, n_baskets: in
     n = n_baskets if n_baskets is not None else edges.select("basket").distinct().count()
     least = max(1, min_count, -(-n // round(1 / min_share)) if min_share else 0)
     kept = edges.groupBy("item").agg(F.count("*").alias("n_item")).where((F.col("n_item") >= least) & (F.col("n_item") * min_lift <= n))
-    kept = checkpointed(kept)
-    rows = edges.join(kept.select("item"), "item")
+    # Numbers stand for the items while pairs are counted; fixed by the checkpoint.
+    kept = checkpointed(checkpointed(kept).withColumn("id", F.monotonically_increasing_id()))
+    rows = edges.join(kept.select("item", "id"), "item").select("basket", "id")
     huge = rows.groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size") > block).select("basket", F.ceil(F.col("size") / block).cast("int").alias("chunks"))
     rows = rows.join(huge, "basket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
-    cells = rows.select("basket", "item", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("basket", "item", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    cells = rows.select("basket", "id", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    # A cell is a pair of chunks in one number, and `of` tells which of the two the item is from.
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    cells = cells.select("basket", (F.shiftleft(low.cast("bigint"), 31) + high).alias("cell"), F.when(low == high, -1).otherwise((F.col("chunk") == high).cast("int")).cast("byte").alias("of"), "id")
     a, b = cells.alias("a"), cells.alias("b")
-    same = (F.col("a.basket") == F.col("b.basket")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.item") < F.col("b.item"))
     # In a mixed cell only pairs across its two chunks; those within a chunk have their own cell.
-    across = (F.col("a.i") == F.col("a.j")) | (F.col("a.chunk") != F.col("b.chunk"))
-    pairs = a.join(b, same & across).groupBy(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")).agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= least)
-    out = pairs.join(kept.select(F.col("item").alias("item_a"), F.col("n_item").alias("n_a")), "item_a").join(kept.select(F.col("item").alias("item_b"), F.col("n_item").alias("n_b")), "item_b")
+    same = (F.col("a.basket") == F.col("b.basket")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & ((F.col("a.of") < 0) | (F.col("a.of") != F.col("b.of")))
+    pairs = a.join(b, same).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= least)
+    x = kept.select(F.col("id").alias("a"), F.struct(F.col("item").alias("item"), F.col("n_item").alias("n")).alias("x"))
+    y = kept.select(F.col("id").alias("b"), F.struct(F.col("item").alias("item"), F.col("n_item").alias("n")).alias("y"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("lo", F.least("x", "y")).withColumn("hi", F.greatest("x", "y"))
+    out = both.select(F.col("lo")["item"].alias("item_a"), F.col("hi")["item"].alias("item_b"), "n_ab", F.col("lo")["n"].alias("n_a"), F.col("hi")["n"].alias("n_b"))
     total = F.lit(n).cast("bigint")
     out = out.where(F.col("n_ab").cast("double") * total >= min_lift * F.col("n_a").cast("double") * F.col("n_b"))
     lift = F.col("n_ab").cast("double") * total / (F.col("n_a").cast("double") * F.col("n_b"))
@@ -57,7 +63,7 @@ def visit_blocks(df: DataFrame, entity: Column, visit: Column, tokens: str, even
     """
     flat = F.array_join(F.filter(F.col(tokens), lambda x: x.isNotNull()), "\x01")
     pieces = F.split(flat, "(?:^|\x01)\\[VISIT\\](?=\x01|$)")
-    rows = df.where(F.col(tokens).isNotNull()).select(F.to_json(F.struct(entity.alias("e"), visit.alias("v"))).alias("key"), F.posexplode(pieces).alias("at", "piece"))
+    rows = df.where(F.col(tokens).isNotNull()).select(F.coalesce(entity, F.lit("\0")).alias("e"), F.coalesce(visit, F.lit("\0")).alias("v"), F.posexplode(pieces).alias("at", "piece"))
     items = F.filter(F.split("piece", "\x01"), lambda x: x.rlike(event))
     rows = rows.withColumn("items", items).where("at > 0 or size(items) > 0")
-    return rows.select(F.concat_ws("|", "key", F.col("at").cast("string")).alias("basket"), F.explode_outer("items").alias("item"))
+    return rows.select(F.concat_ws("\x01", "e", "v", F.col("at").cast("string")).alias("basket"), F.explode_outer("items").alias("item"))
