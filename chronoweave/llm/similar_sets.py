@@ -155,12 +155,22 @@ def similar_sets(df: DataFrame, set_id: Column, items: Column, threshold: float
     return pairs, members
 
 
-def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All similar pairs (a, b), a < b, with the members of equal sets expanded."""
-    rep = members.select("id", "rep")
-    own = rep.alias("x").join(rep.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    p = pairs.select("a", "b").join(rep.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(rep.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
-    return own.unionByName(p.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")))
+def expanded(pairs: DataFrame, members: DataFrame, block: int = 1000) -> DataFrame:
+    """All similar pairs (a, b), a < b, with the members of equal sets expanded.
+
+    The result grows with the square of a class of equal sets by its nature; use
+    the pairs and members themselves where that is too much. A class of more than
+    `block` members is expanded in blocks, so its pairs come from many tasks.
+    """
+    sizes = members.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rep = members.select("id", "rep").join(sizes.where("blocks > 1"), "rep", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    x = rep.select("rep", F.col("id").alias("a"), own.alias("block"))
+    y = rep.select("rep", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    equal = x.join(y, ["rep", "block"]).where("a < b").select("a", "b")
+    flat = rep.select("id", "rep")
+    p = pairs.select("a", "b").join(flat.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(flat.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
+    return equal.unionByName(p.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")))
 
 
 def links_per_set(pairs: DataFrame, members: DataFrame) -> DataFrame:

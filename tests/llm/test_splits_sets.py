@@ -63,11 +63,14 @@ def test_similar_sets_equal_brute_force(spark):
     data = [(k, [str(x) for x in list(v)[: len(v) // 2]], 0) for k, v in sets.items()] + [(k, [str(x) for x in v] + [None], 1) for k, v in sets.items()]
     data += [(900, None, 0), (901, [], 0), (None, ["1", "2", "3"], 0), (902, ["1", "2"], 0), (903, ["1", "2"], 0)]
     df = spark.createDataFrame(data, "pattern_id bigint, items array<string>, n int")
+    data += [(k, ["7001", "7002", "7003"], 0) for k in range(950, 960)]
+    sets |= {k: {7001, 7002, 7003} for k in range(950, 960)}
+    df = spark.createDataFrame(data, df.schema)
     big = {k: v for k, v in sets.items() if len(v) >= 3}
     want = {(a, b) for a in big for b in big if a < b and 10 * len(big[a] & big[b]) >= 7 * len(big[a] | big[b])}
     for chunk in (50_000, 8):
         pairs, members = similar_sets(df, F.col("pattern_id"), F.col("items"), chunk=chunk)
-        assert {tuple(x) for x in rows(expanded(pairs, members))} == want
+        assert {tuple(x) for x in rows(expanded(pairs, members))} == want == {tuple(x) for x in rows(expanded(pairs, members, block=1))}
     links = links_per_set(pairs, members)
     assert links.count() == len(big)
     assert sum(1 for x in links.collect() if x.class_size > 1) == len({x for p in want for x in p if big[p[0]] == big[p[1]]})
