@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.common import checkpointed, clean_id
 
+#: Up to so many children of a node are looked up one by one.
+_NARROW = 6
 #: Tokens that count as events.
 EVENT = r"^[CPD]:"
 
@@ -68,14 +70,37 @@ def _counter(tree, width: int):
             alone = pc.is_null(e).to_numpy(zero_copy_only=False)
             several: list[tuple[int, np.ndarray]] = []
 
-            def walk(node: dict, rows: np.ndarray, last: np.ndarray, level: int) -> None:
+            offsets = np.concatenate([[0], np.cumsum(lens)])
+
+            def each(node: dict, rows: np.ndarray, last: np.ndarray) -> Iterator[tuple]:
+                """(child, rows that go on to it, block reached) of a node's children."""
+                if len(node) <= _NARROW:
+                    for token, child in node.items():
+                        home = rows * width + token
+                        at = np.searchsorted(keys, home * span + last + 1)
+                        inside = at < len(keys)
+                        hit = np.zeros(len(rows), bool)
+                        hit[inside] = keys[at[inside]] // span == home[inside]
+                        yield child, rows[hit], keys[at[hit]] % span
+                    return
+                # Many children: one pass over all that follows in those rows, grouped by token.
+                n = lens[rows]
+                own = np.repeat(np.arange(len(rows)), n)
+                at = np.repeat(offsets[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                later = k[at] > last[own]
+                own, at = own[later], at[later]
+                group = own * width + i[at]  # ascending, as rows and the tokens of a row are
+                first = np.ones(len(group), bool)
+                first[1:] = group[1:] != group[:-1]
+                own, at = own[first], at[first]
+                order = np.argsort(i[at], kind="stable")
+                ends = np.searchsorted(i[at][order], np.arange(width + 1))
                 for token, child in node.items():
-                    home = rows * width + token
-                    at = np.searchsorted(keys, home * span + last + 1)
-                    inside = at < len(keys)
-                    hit = np.zeros(len(rows), bool)
-                    hit[inside] = keys[at[inside]] // span == home[inside]
-                    found = rows[hit]
+                    seg = order[ends[token] : ends[token + 1]]
+                    yield child, rows[own[seg]], k[at[seg]]
+
+            def walk(node: dict, rows: np.ndarray, last: np.ndarray, level: int) -> None:
+                for child, found, reached in each(node, rows, last):
                     if not len(found):
                         continue
                     if level == depth:
@@ -84,7 +109,7 @@ def _counter(tree, width: int):
                         if not a.all():
                             several.append((child, found[~a]))
                     else:
-                        walk(child, found, keys[at[hit]] % span, level + 1)
+                        walk(child, found, reached, level + 1)
 
             if len(keys):
                 walk(root, np.arange(len(e)), np.full(len(e), -1), 1)
