@@ -63,14 +63,12 @@ def matched_positions(patterns: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def flat_occurrence(sequences: DataFrame, pattern: list[str], contiguous: bool) -> DataFrame:
     """(key, positions) of the first occurrence of a flat pattern among the events of `tokens`; markers don't break contiguity."""
+    if not contiguous:
+        return ordered_positions(sequences, [[x] for x in pattern])
     events = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))), lambda x: X.is_event(x["tok"]))
     rows = sequences.select("key", events.alias("e")).withColumn("t", F.transform("e", lambda x: x["tok"]))
-    p = F.array(*[F.lit(x) for x in pattern])
-    if contiguous:
-        at = A.contiguous_at(p, F.col("t"))
-        return rows.withColumn("at", at).where("at is not null").select("key", F.transform(F.slice("e", F.col("at") + 1, len(pattern)), lambda x: x["pos"]).alias("positions"))
-    hits = A.alignment(F.transform(p, lambda x: F.array(x)), F.transform("t", lambda x: F.array(x)))
-    return rows.withColumn("h", hits).where("h is not null").select("key", F.transform("h", lambda i: F.get("e", i)["pos"]).alias("positions"))
+    at = A.contiguous_at(F.array(*[F.lit(x) for x in pattern]), F.col("t"))
+    return rows.withColumn("at", at).where("at is not null").select("key", F.transform(F.slice("e", F.col("at") + 1, len(pattern)), lambda x: x["pos"]).alias("positions"))
 
 
 def ordered_positions(sequences: DataFrame, pattern: list[list[str]]) -> DataFrame:

@@ -122,4 +122,4 @@ def level_shares(df: DataFrame, value: Column, by: str) -> DataFrame:
 def coverage(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """n_rows, n_covered and percent of rows whose keys occur in `known`."""
     k = known.select(*keys).distinct().withColumn("__k", F.lit(1))
-    return rows.join(k, keys, "left").agg(F.count("*").alias("n_rows"), F.count("__k").alias("n_covered"), (100.0 * F.count("__k") / F.count("*")).alias("percent"))
+    return rows.join(k, keys, "left").agg(F.count("*").alias("n_rows"), F.count("__k").alias("n_covered"), (100.0 * F.count("__k") / F.nullif(F.count("*"), F.lit(0))).alias("percent"))

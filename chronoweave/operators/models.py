@@ -28,15 +28,19 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
 
 
 def train_tokens(df: DataFrame, tokens: str = "tokens", label: str = "y", features: int = 1 << 14, reg: float = 0.01, max_iter: int = 50):
-    """A class-weighted logistic model over hashed token counts, fitted distributed; rows without label are left out."""
+    """A class-weighted logistic model over hashed token counts, fitted distributed; rows without label are left out, and no rows give no model."""
     rows = weighted(df.where(F.col(label).isNotNull()), label)
+    if rows.isEmpty():
+        return None
     stages = [HashingTF(inputCol=tokens, outputCol="features", numFeatures=features), LogisticRegression(labelCol=label, weightCol="weight", regParam=reg, maxIter=max_iter)]
     return Pipeline(stages=stages).fit(rows)
 
 
 def train_columns(df: DataFrame, columns: list[str], label: str, kind: str = "linear", standardize: bool = True, trees: int = 200):
-    """A model over numeric columns: `linear` or `boosted` (trees of depth 4, step 0.05)."""
+    """A model over numeric columns: `linear` or `boosted` (trees of depth 4, step 0.05); no rows give no model."""
     rows = weighted(df.where(F.col(label).isNotNull()).dropna(subset=columns), label)
+    if rows.isEmpty():
+        return None
     stages = [VectorAssembler(inputCols=columns, outputCol="raw")]
     if standardize:
         stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
@@ -47,8 +51,10 @@ def train_columns(df: DataFrame, columns: list[str], label: str, kind: str = "li
 
 
 def with_score(model, df: DataFrame) -> DataFrame:
-    """Adds score, the probability of the positive class."""
-    cols = df.columns
+    """Adds score, the probability of the positive class; null without a model. A column of that name is replaced."""
+    cols = [c for c in df.columns if c != "score"]
+    if model is None:
+        return df.select(*cols, F.lit(None).cast("double").alias("score"))
     return model.transform(df).select(*cols, vector_to_array("probability")[1].alias("score"))
 
 

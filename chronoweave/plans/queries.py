@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -669,7 +668,7 @@ def risk_models(c: Context) -> DataFrame:
     out = Me.auroc(rows, F.col("score"), F.col("label")).withColumn("model", F.lit("plain"))
     for name, cols in (("total", ["score"]), ("components", ["l", "a", "c", "e"])):
         m = Mo.train_columns(rows, cols, "label")
-        s = m.transform(rows).select("label", vector_to_array("probability")[1].alias("score"))
+        s = Mo.with_score(m, rows)
         out = out.unionByName(Me.auroc(s, F.col("score"), F.col("label")).withColumn("model", F.lit(name)))
     return out
 
