@@ -63,6 +63,14 @@ def _norm(x: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x - m) / np.sqrt(((x - m) ** 2).mean(-1, keepdims=True) + 1e-5) * g + b
 
 
+def _norm_back(x: np.ndarray, g: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """Gradient by x of _norm(x, g, b), given that by its result."""
+    c = x - x.mean(-1, keepdims=True)
+    s = np.sqrt((c**2).mean(-1, keepdims=True) + 1e-5)
+    c, dy = c / s, dy * g
+    return (dy - dy.mean(-1, keepdims=True) - c * (dy * c).mean(-1, keepdims=True)) / s
+
+
 class Encoder:
     """Pre-norm Transformer encoder over token ids with a classification head on the first position."""
 
@@ -105,26 +113,64 @@ class Encoder:
         return (h @ w["head_w1"] + w["head_b1"])[:, 0], seen
 
     def logits(self, ids: np.ndarray) -> np.ndarray:
-        return self.run(self.embed(ids), ids == PAD)[0]
+        return self._slope(self.embed(ids), ids == PAD, False)[0]
 
-    def integrated(self, ids: np.ndarray, steps: int = 16, baseline: np.ndarray | None = None) -> np.ndarray:
-        """Attribution of each position: the path integral from the padding embedding (or a baseline), positions kept.
+    def _slope(self, emb: np.ndarray, pad: np.ndarray, back: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Logits [B] and their gradients by the embeddings [B, L, D].
 
-        Along the straight path each position's share of the slope is a
-        directional derivative, taken by central differences.
+        Only the first position's output is scored, so the last layer computes
+        that row alone and needs no attention of every position to every other.
         """
-        x = self.embed(ids[None])[0]
-        base = self.embed(np.zeros_like(ids)[None])[0] if baseline is None else baseline
-        delta, pad, eps = x - base, ids == PAD, 1e-4
-        n = len(ids)
-        out = np.zeros(n)
-        for a in np.linspace(0, 1, steps + 1):
-            at = np.repeat((base + a * delta)[None], 2 * n, 0)
-            i = np.arange(n)
-            at[i, i] += eps * delta
-            at[n + i, i] -= eps * delta
-            f = self.run(at, np.repeat(pad[None], 2 * n, 0))[0]
-            out += (f[:n] - f[n:]) / (2 * eps) / (steps + 1)
+        w, (n, length, dim), d = self.w, emb.shape, emb.shape[2] // self.heads
+        split = lambda t: t.reshape(n, -1, self.heads, d).transpose(0, 2, 1, 3)
+        join = lambda t: t.transpose(0, 2, 1, 3).reshape(n, -1, dim)
+        hide = np.where(pad, -1e9, 0.0)[:, None, None, :]
+        start = emb + w["pos"][:length]
+        x = _norm(start, w["emb_g"], w["emb_b"])
+        kept = []
+        for i in range(self.layers):
+            rows = slice(0, 1) if i == self.layers - 1 else slice(None)
+            h = _norm(x, w[f"n1_g{i}"], w[f"n1_b{i}"])
+            wq, wk, wv = np.split(w[f"qkv_w{i}"], 3, axis=1)
+            bq, bk, bv = np.split(w[f"qkv_b{i}"], 3)
+            q, k, v = split(h[:, rows] @ wq + bq), split(h @ wk + bk), split(h @ wv + bv)
+            a = q @ k.transpose(0, 1, 3, 2) / np.sqrt(d) + hide
+            a = np.exp(a - a.max(-1, keepdims=True))
+            a /= a.sum(-1, keepdims=True)
+            mid = x[:, rows] + join(a @ v) @ w[f"out_w{i}"] + w[f"out_b{i}"]
+            up = _norm(mid, w[f"n2_g{i}"], w[f"n2_b{i}"]) @ w[f"up_w{i}"] + w[f"up_b{i}"]
+            kept.append((rows, x, q, k, v, a, mid, up))
+            x = mid + np.maximum(up, 0) @ w[f"down_w{i}"] + w[f"down_b{i}"]
+        h = x[:, 0] @ w["head_w0"] + w["head_b0"]
+        out = (np.maximum(h, 0) @ w["head_w1"] + w["head_b1"])[:, 0]
+        if not back:
+            return out, None
+        g = np.zeros_like(x)
+        g[:, 0] = ((h > 0) * w["head_w1"][:, 0]) @ w["head_w0"].T
+        for i in reversed(range(self.layers)):
+            rows, x, q, k, v, a, mid, up = kept[i]
+            g = g + _norm_back(mid, w[f"n2_g{i}"], ((g @ w[f"down_w{i}"].T) * (up > 0)) @ w[f"up_w{i}"].T)
+            o = split(g @ w[f"out_w{i}"].T)
+            ga = o @ v.transpose(0, 1, 3, 2)
+            gs = a * (ga - (ga * a).sum(-1, keepdims=True)) / np.sqrt(d)
+            wq, wk, wv = np.split(w[f"qkv_w{i}"], 3, axis=1)
+            gh = join(gs.transpose(0, 1, 3, 2) @ q) @ wk.T + join(a.transpose(0, 1, 3, 2) @ o) @ wv.T
+            gh[:, rows] += join(gs @ k) @ wq.T
+            gx = _norm_back(x, w[f"n1_g{i}"], gh)
+            gx[:, rows] += g
+            g = gx
+        return out, _norm_back(start, w["emb_g"], g)
+
+    def integrated(self, ids: np.ndarray, steps: int = 16, baseline: np.ndarray | None = None) -> np.ndarray:
+        """Attribution of each position: the path integral from the padding embedding (or a baseline; a stack of them gives the mean), positions kept."""
+        x, pad = self.embed(ids[None])[0], ids == PAD
+        base = self.embed(np.zeros_like(ids)[None]) if baseline is None else baseline.reshape(-1, *x.shape)
+        out = np.zeros(len(ids))
+        at = np.linspace(0, 1, steps + 1)[:, None, None]
+        for b in base:
+            delta = x - b
+            slope = self._slope(b + at * delta, np.repeat(pad[None], steps + 1, 0))[1]
+            out += (slope.mean(0) * delta).sum(-1) / len(base)
         return np.where(pad, 0.0, out)
 
     def shapley_kernel(self, ids: np.ndarray, positions: list[int], samples: int = 200, seed: int = 0) -> np.ndarray:
@@ -146,13 +192,10 @@ class Encoder:
     def expected_gradients(self, ids: np.ndarray, background: np.ndarray, seed: int = 0, draws: int = 8) -> np.ndarray:
         """Path attributions averaged over random background sequences and path points."""
         rng = np.random.default_rng(seed)
-        total = np.zeros(len(ids))
-        for b in background[rng.integers(0, len(background), draws)]:
-            n = min(len(b), len(ids))
-            base = np.zeros_like(ids)
-            base[:n] = b[:n]
-            total += self.integrated(ids, 2, self.embed(base[None])[0])
-        return total / draws
+        base = np.zeros((draws, len(ids)), ids.dtype)
+        n = min(background.shape[1], len(ids))
+        base[:, :n] = background[rng.integers(0, len(background), draws), :n]
+        return self.integrated(ids, 2, self.embed(base))
 
 
 def _padded(lists: list, least: int = 1) -> np.ndarray:
@@ -168,6 +211,7 @@ def _over(df: DataFrame, encoder: Encoder, schema: str, one: Callable[[Encoder,
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
+            pdf = pdf.iloc[np.argsort([0 if x is None else len(x) for x in pdf["input_ids"]], kind="stable")]  # little padding
             for i in range(0, len(pdf), batch):
                 yield one(shared.value, pdf.iloc[i : i + batch])
 
@@ -181,7 +225,7 @@ def predicted(encoded: DataFrame, encoder: Encoder) -> DataFrame:
         has = pdf["input_ids"].map(lambda x: x is not None and len(x) > 0)
         ids = _padded([x if h else [] for x, h in zip(pdf["input_ids"], has)])
         s = 1 / (1 + np.exp(-e.logits(ids)))
-        return pd.DataFrame({"key": pdf["key"], "score": np.where(has, s, None)})
+        return pd.DataFrame({"key": pdf["key"], "score": pd.Series(np.where(has, s, np.nan), pdf.index).astype(object).where(has, None)})
 
     return _over(encoded.select("key", "input_ids"), encoder, "key string, score double", one)
 
@@ -228,24 +272,42 @@ def attention_flow(encoded: DataFrame, positions: DataFrame, encoder: Encoder, t
     positions count as samples and give no attention.
     """
 
+    def flow(a: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[float | None, float | None]:
+        rest = np.setdiff1d(np.flatnonzero(ids != PAD), pos)
+        if len(pos) < 2 or not len(rest):
+            return None, None
+        i, j = np.nonzero(~np.eye(len(pos), dtype=bool))
+
+        def first(k: int, m: int) -> np.ndarray:
+            """The first `cap` pairs of the first m rows at about distance k."""
+            far = np.abs(rest[:m, None] - rest[None])
+            x, y = np.nonzero((np.abs(far - k) <= tolerance) & (far > 0))
+            return a[rest[x[:cap]], rest[y[:cap]]]
+
+        near, times = [], []
+        for k, n in zip(*np.unique(np.abs(pos[i] - pos[j]), return_counts=True)):
+            val = first(k, 8)
+            if len(val) < cap < 8 * len(rest) and len(rest) > 8:
+                val = first(k, len(rest))
+            if len(val):
+                near.append(val.mean())
+                times.append(n)
+        cross = float(a[pos[i], pos[j]].mean())
+        if near:
+            return cross, float(np.average(near, weights=times))
+        n = len(rest)
+        among = a[np.ix_(rest, rest)]
+        return cross, float((among.sum() - np.trace(among)) / (n * n - n)) if n > 1 else None
+
     def one(e: Encoder, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for p, ids, pos in zip(pdf["pattern_id"], pdf["input_ids"], pdf["positions"]):
-            ids, pos = np.asarray(ids, np.int64), np.array([x for x in pos if x < len(ids)], int)
-            rest = np.setdiff1d(np.flatnonzero(ids != PAD), pos)
-            if len(pos) < 2 or not len(rest):
-                rows.append((p, None, None))
-                continue
-            a = e.run(e.embed(ids[None]), (ids == PAD)[None])[1][0]
-            i, j = np.nonzero(~np.eye(len(pos), dtype=bool))
-            d = np.abs(pos[i] - pos[j])
-            x, y = np.nonzero(~np.eye(len(rest), dtype=bool))
-            far, val = np.abs(rest[x] - rest[y]), a[rest[x], rest[y]]
-            near = [val[np.abs(far - k) <= tolerance][:cap] for k in d]
-            near = [n.mean() for n in near if len(n)]
-            rows.append((p, float(a[pos[i], pos[j]].mean()), float(np.mean(near)) if near else (float(val.mean()) if len(val) else None)))
+        for ids, found in zip(pdf["input_ids"], pdf["found"]):
+            ids = np.asarray(ids, np.int64)
+            a = e.run(e.embed(ids[None]), (ids == PAD)[None])[1][0]  # once for all patterns of the sequence
+            rows += [(f["pattern_id"], *flow(a, ids, np.array([x for x in f["positions"] if x < len(ids)], int))) for f in found]
         return pd.DataFrame(rows, columns=["pattern_id", "cross", "base"])
 
-    rows = _over(positions.join(encoded, "key").select("pattern_id", "input_ids", "positions"), encoder, "pattern_id string, cross double, base double", one, 8)
+    found = positions.groupBy("key").agg(F.collect_list(F.struct("pattern_id", "positions")).alias("found"))
+    rows = _over(found.join(encoded, "key").select("input_ids", "found"), encoder, "pattern_id string, cross double, base double", one, 8)
     out = rows.groupBy("pattern_id").agg(F.count("*").alias("n_samples"), F.avg("cross").alias("mean_cross"), F.coalesce(F.avg("base"), F.lit(0.0)).alias("mean_baseline")).where("mean_cross is not null")
     return out.withColumn("ratio", F.col("mean_cross") / F.greatest("mean_baseline", F.lit(1e-8))).withColumn("uplift", F.col("mean_cross") - F.col("mean_baseline"))

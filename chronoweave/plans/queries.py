@@ -706,11 +706,24 @@ def token_model(c: Context) -> DataFrame:
     return Me.auroc(s, F.col("score"), F.col("y"))
 
 
-def _encoded(c: Context, length: int = 32) -> tuple[DataFrame, Mo.Encoder]:
-    """All sequences, the first token and the tail of each, and an untrained encoder."""
+def _encoded(c: Context, length: int = 512) -> tuple[DataFrame, Mo.Encoder]:
+    """All sequences (key, input_ids, and at: where in its sequence each id stands) and an untrained encoder.
+
+    Beyond the encoder's 512 positions the first token and the tail are kept;
+    tokens outside the vocabulary are left out.
+    """
     v = Co.vocabulary(c.tokens)
-    e = Co.encoded(c.seq.select(F.col("key").alias("entity"), A.tail_truncated(F.col("tokens"), length).alias("tokens")), v).withColumnRenamed("entity", "key")
-    return checkpointed(e), Mo.Encoder.random(v.count() + 3, 16, 2, 1)
+    at = F.posexplode("tokens").alias("pos", "token")
+    rows = c.seq.select("key", F.size("tokens").alias("n"), at).where((F.col("pos") == 0) | (F.col("pos") > F.col("n") - length)).join(v.select("token", "id"), "token")
+    ids = F.array_sort(F.collect_list(F.struct("pos", "id")))
+    e = rows.groupBy("key").agg(ids.alias("x")).select("key", F.transform("x", lambda x: x["id"]).alias("input_ids"), F.transform("x", lambda x: x["pos"]).alias("at"))
+    return checkpointed(e), Mo.Encoder.random(v.count() + 3, 16, 2, 1, length)
+
+
+def _placed(positions: DataFrame, encoded: DataFrame) -> DataFrame:
+    """(pattern_id, key, positions) in the sequence turned into places among its ids; what the encoder doesn't see is left out."""
+    place = F.transform("positions", lambda p: F.array_position("at", p).cast("int") - 1)
+    return positions.join(encoded.select("key", "at"), "key").select("pattern_id", "key", F.filter(place, lambda i: i >= 0).alias("positions"))
 
 
 @query
@@ -721,7 +734,7 @@ def encoder_scores(c: Context) -> DataFrame:
 @query
 def attention_flow(c: Context) -> DataFrame:
     e, m = _encoded(c)
-    return Mo.attention_flow(e, Ma.matched_positions(c.patterns, c.tokens), m)
+    return Mo.attention_flow(e, _placed(Ma.matched_positions(c.patterns, c.tokens), e), m)
 
 
 @query
@@ -741,7 +754,7 @@ def extended_models(c: Context) -> DataFrame:
 @query
 def path_attributions(c: Context) -> DataFrame:
     """Path attributions of the untrained encoder, summed per sequence."""
-    e, m = _encoded(c, 12)
+    e, m = _encoded(c)
     return Mo.path_attributions(e, m, 3).groupBy("key").agg(F.count("*").alias("n"), F.sum("attr").alias("attr_sum"))
 
 
@@ -755,7 +768,7 @@ def kernel_attributions(c: Context) -> DataFrame:
 
 @query
 def token_gradients(c: Context) -> DataFrame:
-    e, m = _encoded(c, 8)
+    e, m = _encoded(c)
     background = [list(r.input_ids) for r in e.orderBy("key").limit(20).collect()]
     return Mo.global_gradients(e, m, background)
 
