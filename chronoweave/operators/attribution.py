@@ -57,6 +57,12 @@ def scores(attributions: DataFrame, bias: float = 0.0) -> DataFrame:
     return attributions.groupBy("key", "y").agg(S.sigmoid(F.sum("attr") + bias).alias("score"))
 
 
+def largest(attributions: DataFrame, n: int) -> DataFrame:
+    """The n rows of largest absolute attribution per key, ties by position."""
+    w = W.partitionBy("key").orderBy(F.desc(F.abs("attr")), "pos")
+    return attributions.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+
+
 def mass_selected(attributions: DataFrame, mass: float = 0.8, max_tokens: int = 50) -> DataFrame:
     """Mark the positions that carry `mass` of the absolute attribution, largest first.
 

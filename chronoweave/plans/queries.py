@@ -760,10 +760,12 @@ def path_attributions(c: Context) -> DataFrame:
 
 @query
 def kernel_attributions(c: Context) -> DataFrame:
-    """Masked-subset attributions of each sequence's first three events."""
-    e, m = _encoded(c, 12)
-    first = e.select("key", F.explode(F.filter(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda i: i < F.size("input_ids"))).alias("pos"))
-    return Mo.kernel_attributions(e, first, m, 30)
+    """Masked-subset attributions of each sequence's 15 clinical tokens of largest absolute path attribution."""
+    e, m = _encoded(c)
+    specials = c.spark.createDataFrame([(i,) for i in range(len(X.SPECIALS))], "id int")
+    events = e.select("key", F.posexplode("input_ids").alias("pos", "id")).join(F.broadcast(specials), "id", "left_anti").select("key", "pos")
+    top = At.largest(checkpointed(Mo.path_attributions(e, m)).join(events, ["key", "pos"]), 15)
+    return Mo.kernel_attributions(e, top.select("key", "pos"), m)
 
 
 @query

@@ -50,3 +50,16 @@ def test_attention_flow_takes_the_first_pairs(spark):
     at = spark.createDataFrame([("p", "k", pos)], "pattern_id string, key string, positions array<int>")
     got = Mo.attention_flow(df, at, e).first()
     assert abs(got.mean_baseline - want) < 1e-9 and abs(got.mean_cross - np.mean([a[p, q] for p in pos for q in pos if p != q])) < 1e-9
+
+
+def test_kernel_takes_the_largest_positions(spark, tmp_path):
+    d = sequences(spark, tmp_path, (70, 10, 100))
+    got = {}
+    for r in QUERIES["kernel_attributions"](spark, d).collect():
+        got.setdefault(r.key, set()).add(r.pos)
+    e, m = _encoded(Context(spark, d))
+    for r in e.collect():
+        a = np.abs(m.integrated(np.asarray(r.input_ids)))
+        events = [i for i, x in enumerate(r.input_ids) if x > 2]
+        assert got[r.key] == set(sorted(events, key=lambda i: (-a[i], i))[:15])
+    assert max(got["2|h2"]) >= 12
