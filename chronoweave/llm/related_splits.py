@@ -69,6 +69,10 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, Fraction]], source: in
             v = to[by[v] ^ 1]
 
 
+#: Bundles of one size that a min-cost flow rounds together.
+_AT_ONCE = 64
+
+
 def quotas(bundles: list[tuple[int, int, int]], shares: list[Fraction]) -> list[list[int]]:
     """Components of each bundle that each split gets.
 
@@ -79,6 +83,8 @@ def quotas(bundles: list[tuple[int, int, int]], shares: list[Fraction]) -> list[
     It is rounded to whole components: the whole parts stay; the rest is a
     min-cost flow from bundles to splits whose arc costs are the deviations from
     the fractions and whose split costs are the convex deviations in records.
+    A class of more than _AT_ONCE bundles is rounded in parts of that many, each
+    starting from the deviation that the parts before it left.
     """
     splits = len(shares)
     total = sum(size * m for size, _, m in bundles)
@@ -88,36 +94,41 @@ def quotas(bundles: list[tuple[int, int, int]], shares: list[Fraction]) -> list[
     for i, (size, _, _) in enumerate(bundles):
         by_size.setdefault(size, []).append(i)
     for size in sorted(by_size, reverse=True):
-        own = by_size[size]
+        whole = by_size[size]
         lack = [max(Fraction(0), shares[s] * total - placed[s]) for s in range(splits)]
         part = [x / sum(lack) for x in lack] if sum(lack) else shares
-        for i in own:
+        for i in whole:
             got[i] = [int(p * bundles[i][2]) for p in part]
-        rest = [bundles[i][2] - sum(got[i]) for i in own]
-        need = sum(rest)
-        if need:
-            off = [size * sum(got[i][s] - part[s] * bundles[i][2] for i in own) for s in range(splits)]
-            source, sink, first = 0, 1, 2 + len(own)
-            arcs: list[tuple[int, int, int, Fraction]] = []
-            for k, i in enumerate(own):
-                arcs.append((source, 2 + k, rest[k], Fraction(0)))
+        before = [Fraction(0)] * splits
+        for lo in range(0, len(whole), _AT_ONCE):
+            own = whole[lo : lo + _AT_ONCE]
+            rest = [bundles[i][2] - sum(got[i]) for i in own]
+            need = sum(rest)
+            if need:
+                off = [before[s] + size * sum(got[i][s] - part[s] * bundles[i][2] for i in own) for s in range(splits)]
+                source, sink, first = 0, 1, 2 + len(own)
+                arcs: list[tuple[int, int, int, Fraction]] = []
+                for k, i in enumerate(own):
+                    arcs.append((source, 2 + k, rest[k], Fraction(0)))
+                    for s in range(splits):
+                        over = part[s] * bundles[i][2] - got[i][s]
+                        arcs.append((2 + k, first + s, 1, size * (1 - 2 * over)))
+                        arcs.append((2 + k, first + s, rest[k], size * Fraction(3)))
                 for s in range(splits):
-                    over = part[s] * bundles[i][2] - got[i][s]
-                    arcs.append((2 + k, first + s, 1, size * (1 - 2 * over)))
-                    arcs.append((2 + k, first + s, rest[k], size * Fraction(3)))
+                    for k in range(need):  # marginal deviation of the k-th component of this size
+                        d = off[s] + size * k
+                        arcs.append((first + s, sink, 1, 2 * (abs(d + size) - abs(d))))
+                flow = min_cost_flow(first + splits, arcs, source, sink)
+                at = 0
+                for i in own:
+                    at += 1
+                    for s in range(splits):
+                        got[i][s] += flow[at] + flow[at + 1]
+                        at += 2
             for s in range(splits):
-                for k in range(need):  # marginal deviation of the k-th component of this size
-                    d = off[s] + size * k
-                    arcs.append((first + s, sink, 1, 2 * (abs(d + size) - abs(d))))
-            flow = min_cost_flow(first + splits, arcs, source, sink)
-            at = 0
-            for i in own:
-                at += 1
-                for s in range(splits):
-                    got[i][s] += flow[at] + flow[at + 1]
-                    at += 2
+                before[s] += size * sum(got[i][s] - part[s] * bundles[i][2] for i in own)
         for s in range(splits):
-            placed[s] += size * sum(got[i][s] for i in own)
+            placed[s] += size * sum(got[i][s] for i in whole)
     return got
 
 
@@ -138,9 +149,9 @@ def related_splits(
     (`quotas`). Members get their split by hash rank within the bundle, ranks
     being taken in hash ranges, so no bundle or group is ever gathered in a task.
 
-    There are few bundles because their sizes add up to the number of records.
-    Beyond `max_bundles` the bundles of components seen once are merged by the
-    power of two of their size, and the driver still holds at most that many.
+    A size of s records has at most s + 1 bundles and sizes add up to the number
+    of records n, so there are of the order of n ** (2 / 3) bundles at most; none
+    are merged. Beyond `max_bundles` their quotas are joined by shuffle, not sent.
 
     Output: the key columns, group_id (smallest non-null value of the first key
     in the group, else of the next), group_records, split.
@@ -170,9 +181,6 @@ def related_splits(
     groups = records.groupBy("node").agg(F.coalesce(*[F.min(k) for k in names]).alias("group_id"), F.count("*").alias("group_records"), F.sum("__y").alias("positive"))
     groups = checkpointed(groups.withColumn("size_class", F.col("group_records")).withColumn("label_class", F.col("positive")))
     bundles = groups.groupBy("size_class", "label_class").agg(F.count("*").alias("m"))
-    if bundles.count() > max_bundles:
-        groups = groups.withColumn("size_class", F.pow(2.0, F.floor(F.log2(F.col("group_records")))).cast("bigint")).withColumn("label_class", F.round(F.col("positive") / F.col("group_records"), 1) * F.col("size_class")).withColumn("label_class", F.col("label_class").cast("bigint"))
-        bundles = groups.groupBy("size_class", "label_class").agg(F.count("*").alias("m"))
     table = sorted((r.size_class, r.label_class, r.m) for r in bundles.collect())
     parts = [Fraction(x).limit_denominator(10**6) for x in shares.values()]
     given = quotas(table, [p / sum(parts) for p in parts])
@@ -181,9 +189,8 @@ def related_splits(
     h = F.xxhash64(F.lit(seed), F.col("node"))
     n_buckets = max(1, -(-sum(m for *_, m in table) // ROWS_PER_BUCKET))
     ranked = running_total(groups.withColumn("h", h).withColumn("b", hash_bucket(F.col("h"), n_buckets)), ["size_class", "label_class"], "b", ["h", "node"], F.lit(1), "rank")
-    # ends has one row per bundle: at most max_bundles, as checked above.
     split = F.element_at(F.array(*[F.lit(s) for s in shares]), (F.size(F.filter("upto", lambda x: x <= F.col("rank"))) + 1).cast("int"))
-    placed = ranked.join(F.broadcast(ends), ["size_class", "label_class"]).select("node", "group_id", "group_records", split.alias("split"))
+    placed = ranked.join(F.broadcast(ends) if len(upto) <= max_bundles else ends.hint("shuffle_hash"), ["size_class", "label_class"]).select("node", "group_id", "group_records", split.alias("split"))
     return records.join(placed, "node").select(*names, "group_id", "group_records", "split", F.col("__y").alias("positive"))
 
 

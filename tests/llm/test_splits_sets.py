@@ -81,3 +81,20 @@ def test_similar_sets_equal_brute_force(spark):
 def test_calibration_keeps_its_promise():
     w, segments, bits, radius = calibrate(60_000, 0.7, 1e-4)
     assert (1 - 0.85**w) ** segments <= 5.01e-5 and w >= 15 and radius < bits / 2
+
+
+def test_many_bundles_keep_their_sizes(spark):
+    # One group of 150 of about 500 records, which would count as 128.
+    data = [("g", f"g-{j}", j % 2, "") for j in range(150)] + [(str(i), f"{i}-{j}", int(j < i % 5), "") for i in range(90) for j in range(1 + i % 7)]
+    few, many = (sorted((r.patient_id, r.hadm, r.split) for r in assign(spark, data, max_bundles=n).collect()) for n in (20_000, 3))
+    assert few == many
+    share = {r.split: r.record_share for r in split_sizes(assign(spark, data, max_bundles=3)).collect()}
+    assert abs(share["train"] - 0.7) < 0.02 and abs(share["test"] - 0.2) < 0.02
+
+
+def test_a_size_in_parts():
+    bundles = [(300, p, 1 + p % 3) for p in range(300)]
+    got = quotas(bundles, [Fraction(7, 10), Fraction(1, 10), Fraction(2, 10)])
+    assert [sum(x) for x in got] == [m for *_, m in bundles]
+    n = sum(m for *_, m in bundles)
+    assert all(abs(sum(x[s] for x in got) - p * n) <= 1 for s, p in enumerate((0.7, 0.1, 0.2)))
