@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.common import checkpointed
 from chronoweave.functions import arrays as A
 from chronoweave.functions import text as X
 from chronoweave.operators import mining as M
@@ -122,24 +123,32 @@ def explanation(attributions: DataFrame, edges: DataFrame, patterns: DataFrame,
     return tokens.unionByName(ranked.where(F.col("rank") <= top).select("key", F.lit("pattern").alias("kind"), "rank", F.col("pattern_id").alias("name"), "value"))
 
 
-def exemplars(masses: DataFrame, patterns: DataFrame, n: int = 4, pool: int = 50) -> DataFrame:
-    """Diverse examples: keys picked one by one from the best `pool`, each time the one whose patterns bring most tokens not shown yet.
+def exemplars(masses: DataFrame, patterns: DataFrame, n: int = 4, facts: DataFrame | None = None) -> DataFrame:
+    """Diverse examples picked one by one from all keys: best tier, then most tokens not shown yet, patterns, mass, key.
 
-    masses: (key, pattern_id, value). The pool is a top-k report of at most `pool`
-    keys, so the greedy choice runs on the driver over a bounded list.
+    masses: (key, pattern_id, value). facts: (key, y, n_visits); tier 0 are positive
+    keys of several visits, 1 other keys of several visits, 2 the rest; without
+    facts there is one tier. Each pick is a distributed top-1; only it and the
+    tokens shown so far, those of at most n keys, reach the driver.
     """
     spark = masses.sparkSession
     tokens = masses.join(patterns.select("pattern_id", F.array_distinct(F.flatten("pattern")).alias("t")), "pattern_id")
-    best = tokens.groupBy("key").agg(F.countDistinct("pattern_id").alias("n_patterns"), F.sum("value").alias("mass"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("t"))
-    rows = best.orderBy(F.desc("n_patterns"), F.desc(F.round("mass", 9)), "key").limit(pool).collect()
-    shown: set[str] = set()
-    out = []
-    left = list(rows)
-    while left and len(out) < n:
-        r = max(left, key=lambda r: len(set(r.t) - shown))  # the first of equals: already ordered
-        left.remove(r)
-        out.append((len(out) + 1, r.key, r.n_patterns, r.mass, len(set(r.t) - shown)))
-        shown |= set(r.t)
+    rows = tokens.groupBy("key").agg(F.countDistinct("pattern_id").alias("n_patterns"), F.sum("value").alias("mass"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
+    tier = F.lit(0)
+    if facts is not None:
+        rows = rows.join(facts.select("key", "y", "n_visits"), "key", "left")
+        tier = F.when((F.col("n_visits") > 1) & (F.col("y") == 1), 0).when(F.col("n_visits") > 1, 1).otherwise(2)
+    rows = checkpointed(rows.select("key", "n_patterns", "mass", "t", tier.alias("tier")))
+    shown: list[str] = []
+    out: list[tuple] = []
+    while len(out) < n:
+        new = F.size(F.array_except("t", F.array(*[F.lit(x) for x in shown]).cast("array<string>"))).alias("new")
+        left = rows.where(~F.col("key").isin([r[1] for r in out])) if out else rows
+        best = left.select("*", new).orderBy("tier", F.desc("new"), F.desc("n_patterns"), F.desc(F.round("mass", 9)), "key").first()
+        if best is None:
+            break
+        out.append((len(out) + 1, best.key, best.n_patterns, best.mass, best.new))
+        shown = sorted({*shown, *best.t})
     return spark.createDataFrame(out, "rank int, key string, n_patterns bigint, mass double, n_new_tokens int")
 
 

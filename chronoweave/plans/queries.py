@@ -619,7 +619,7 @@ def explanations(c: Context) -> DataFrame:
 @query
 def exemplars(c: Context) -> DataFrame:
     m = c.instances.select("key", "pattern_id", F.abs("score").alias("value"))
-    return Ma.exemplars(m, c.patterns)
+    return Ma.exemplars(m, c.patterns, facts=c.seq)
 
 
 @dictionary_query
