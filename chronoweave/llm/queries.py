@@ -25,14 +25,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_support(spark, d).select("pattern")
 
 
-def _assigned(spark: SparkSession, d: str) -> DataFrame:
+def _assigned(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """All records of samples; `whole`: only those with both ids."""
     keys = {"patient_id": clean_id("patient_id"), "index_hadm_id": clean_id("index_hadm_id")}
-    whole = table(spark, d, "samples").where(keys["patient_id"].isNotNull() & keys["index_hadm_id"].isNotNull())
-    return related_splits(whole, keys, F.col("readmit_30d"))
+    rows = table(spark, d, "samples")
+    return related_splits(rows.where(keys["patient_id"].isNotNull() & keys["index_hadm_id"].isNotNull()) if whole else rows, keys, F.col("readmit_30d"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _assigned(spark, d).where("group_records > 1").select("patient_id", "index_hadm_id", "group_id")
+    return _assigned(spark, d, True).where("group_records > 1").select("patient_id", "index_hadm_id", "group_id")
 
 
 def p2_assigned(spark: SparkSession, d: str) -> DataFrame:
