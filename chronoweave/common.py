@@ -13,8 +13,11 @@ from pyspark.sql import Window as W
 ROWS_PER_BUCKET = 100_000
 
 
-def session(app: str = "chronoweave", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the library's defaults; an existing session is returned unchanged."""
+def session(app: str = "chronoweave", master: str | None = None, shared: str | None = None, **conf: str) -> SparkSession:
+    """A session with the library's defaults; an existing session is returned unchanged.
+
+    shared: the folder for checkpoints, which all executors must reach.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -24,7 +27,7 @@ def session(app: str = "chronoweave", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-    }
+    } | ({"spark.checkpoint.dir": shared} if shared else {})
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
@@ -35,17 +38,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` on reliable shared storage and cut its lineage.
 
-    The folder is the session's spark.checkpoint.dir. Only where none is set
-    (tests, notebooks) a temporary local one is used.
+    The folder is the session's spark.checkpoint.dir. Where none is set, a
+    temporary folder is used if the session runs on this machine alone (tests,
+    notebooks); on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chronoweave-", dir=os.environ.get("TMPDIR")))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not _one_machine(sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="chronoweave-", dir=os.environ.get("TMPDIR"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

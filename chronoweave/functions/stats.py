@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -30,10 +27,23 @@ def chi2_yates(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when((r1 == 0) | (r2 == 0) | (k1 == 0) | (k2 == 0), 0.0).otherwise(chi)
 
 
-@pandas_udf(DoubleType())
-def chi2_p(chi2: pd.Series) -> pd.Series:
+def erfc(z: Column) -> Column:
+    """Complementary error function of z >= 0, without Python.
+
+    Below 3 one minus the series exp(-z^2) * sum of 2^n z^(2n+1) / (2n+1)!!,
+    from 3 on the continued fraction, evaluated from its end.
+    """
+    root_pi = F.lit(math.sqrt(math.pi))
+    grow = lambda a, n: F.struct((a["term"] * 2 * z * z / (2 * n + 1)).alias("term"), (a["sum"] + a["term"] * 2 * z * z / (2 * n + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(z.alias("term"), z.alias("sum")), grow, lambda a: a["sum"])
+    tail = F.aggregate(F.sequence(F.lit(60), F.lit(1)), F.lit(1.0), lambda a, k: 1 + k / (2 * z * z) / a)
+    return F.when(z < 3, 1 - 2 / root_pi * F.exp(-z * z) * series).otherwise(F.exp(-z * z) / (z * root_pi * tail))
+
+
+def chi2_p(chi2: Column | str) -> Column:
     """Upper tail of chi-square with one degree of freedom; null for null."""
-    return chi2.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")
+    c = F.col(chi2) if isinstance(chi2, str) else chi2
+    return erfc(F.sqrt(c / 2))
 
 
 def sigmoid(x: Column) -> Column:
