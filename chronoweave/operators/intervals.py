@@ -18,9 +18,10 @@ def periods_and_gaps(df: DataFrame, entity: Column, start: Column, end: Column,
     a period's start is the end of the period before it, which gives the gap
     without another pass. Without hot entities the intervals are shuffled once.
 
-    An entity with more than `bucket_rows` boundaries is swept in time slices:
-    only slice totals are carried from slice to slice, so no entity is ever
-    gathered into one task.
+    An entity with more than `bucket_rows` boundaries is swept in time slices of
+    about equal numbers of instants (ranges of the data, so far-off dates do not
+    leave the rest in one slice): only slice totals are carried from slice to
+    slice, so no entity is ever gathered into one task.
 
     Output: entity, start_s, end_s (epoch seconds of the period), n_intervals,
     members (1, or 2 for "at least two distinct non-null members"),
@@ -33,25 +34,26 @@ def periods_and_gaps(df: DataFrame, entity: Column, start: Column, end: Column,
     ignored whatever their names.
     """
     x = df.select(entity.alias("e"), F.unix_seconds(start).alias("s"), F.unix_seconds(end).alias("t"), member.cast("string").alias("m")).where("e is not null and s is not null and t >= s")
-    # Slices: none for ordinary entities; equal time slices for hot ones. Counting them is cheap: counts combine before the shuffle.
-    hot = checkpointed(
-        x.groupBy("e").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("t").alias("b")).where(2 * F.col("n") > bucket_rows)
-        .select("e", "a", ((F.col("b") - F.col("a") + 1) / F.ceil(8 * F.col("n") / bucket_rows)).alias("width"))
-    )
-    n_hot = hot.count()
+    # Counting is cheap: counts combine before the shuffle.
+    hot = checkpointed(x.groupBy("e").agg(F.count("*").alias("n")).where(2 * F.col("n") > bucket_rows))
+    n_hot, hot_rows = hot.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     keys = ["e", "k"] if n_hot else ["e"]
 
     def boundaries(rows: DataFrame) -> DataFrame:
         both = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("open"), F.lit(0).alias("close"), "m"), F.struct(F.col("t").alias("at"), F.lit(0).alias("open"), F.lit(1).alias("close"), F.lit(None).cast("string").alias("m")))
         return rows.select("e", F.explode(both).alias("v")).select("e", "v.*")
 
+    def netted(rows: DataFrame) -> DataFrame:
+        return boundaries(rows).groupBy("e", "at").agg(F.sum("open").alias("open"), F.sum("close").alias("close"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+
     if n_hot:
-        # At most 2 * rows / bucket_rows entities can be hot; sent along only if they are few.
-        slices_of = F.broadcast(hot) if n_hot <= 100_000 else hot
-        events = boundaries(x).join(slices_of, "e", "left").withColumn("k", F.coalesce(F.floor((F.col("at") - F.col("a")) / F.col("width")), F.lit(0))).drop("a", "width")  # netted before the shuffle, as a slice may hold many rows of one instant
+        # At most 2 * rows / bucket_rows entities can be hot; sent along only if they are few. Their instants are netted before the shuffle and cut into ranges.
+        few = F.broadcast(hot.select("e")) if n_hot <= 100_000 else hot.select("e")
+        ranges = netted(x.join(few, "e", "left_semi")).repartitionByRange(max(2, -(-8 * hot_rows // bucket_rows)), "e", "at")
+        sliced = checkpointed(ranges.withColumn("k", F.spark_partition_id().cast("long")))
+        net = netted(x.join(few, "e", "left_anti").repartition("e")).withColumn("k", F.lit(0).cast("long")).unionByName(sliced)
     else:
-        events = boundaries(x.repartition("e"))  # the one shuffle: all that follows is by entity
-    net = events.groupBy(*keys, "at").agg(F.sum("open").alias("open"), F.sum("close").alias("close"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+        net = netted(x.repartition("e"))  # the one shuffle: all that follows is by entity
 
     inside = W.partitionBy(*keys).orderBy("at")
     before = inside.rowsBetween(W.unboundedPreceding, -1)

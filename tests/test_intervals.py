@@ -66,3 +66,9 @@ def test_hot_entity_is_swept_in_slices(spark):
 def test_periods_count_intervals(spark):
     p = rows(periods_and_gaps(frame(spark, [("1", "a", 0, 1), ("1", "a", 1, 2)]), F.col("subject_id"), F.col("a"), F.col("b"), F.col("hadm_id")))
     assert len(p) == 1 and p[0][3] == 2 and p[0][4] == 1 and p[0][5] is None
+
+
+def test_a_far_off_date_leaves_no_slice_with_all_the_rest(spark):
+    r = random.Random(4)
+    data = [("1", str(i), a := r.randrange(3000), a + r.randrange(6)) for i in range(600)] + [("1", "far", 200_000_000, 200_000_001), ("2", "x", 1, 2), ("2", "y", 2, 9)]
+    assert run(spark, data, bucket_rows=20) == brute(data)
