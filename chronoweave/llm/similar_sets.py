@@ -1,4 +1,4 @@
-"""All pairs of similar sets, through one-bit minhash codes and an index over code segments."""
+"""All pairs of similar sets: a pigeonhole index over each set's rarest items, one-bit minhash codes as filter, exact verification."""
 
 from __future__ import annotations
 
@@ -9,31 +9,31 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.common import checkpointed
+from chronoweave.common import checkpointed, hash_bucket, running_total
 
 _U = np.uint64
 
 
-def calibrate(n_sets: int, threshold: float, miss: float) -> tuple[int, int, int, int]:
-    """Segment width, number of segments, filter bits and Hamming radius.
+#: Bits of a code, the same at every size.
+BITS = 256
 
-    A bit of two sets of similarity J agrees with probability p = (1 + J) / 2.
-    Segments of w = log2(n) bits leave about n/2 chance meetings per segment; a
-    pair at the threshold meets in none of L independent segments with
-    probability (1 - p^w)^L, which L brings below miss / 2. The radius over the
-    filter bits is the least that a pair at the threshold exceeds with
-    probability below miss / 2.
+
+def calibrate(threshold: float, miss: float, bits: int = BITS) -> int:
+    """The least Hamming radius that codes of two sets at the threshold exceed with probability below `miss`.
+
+    A one-bit minhash of two sets of similarity J agrees with probability (1 + J) / 2,
+    and more similar sets differ in fewer bits.
     """
     p = (1 + threshold) / 2
-    w = max(8, math.ceil(math.log2(max(2, n_sets))))
-    segments = math.ceil(math.log(miss / 2) / math.log1p(-(p**w)))
-    bits, tail, radius = 128, 1.0, -1
-    while tail > miss / 2:
-        radius += 1
-        tail -= math.comb(bits, radius) * (1 - p) ** radius * p ** (bits - radius)
-    return w, segments, bits, radius
+    tail = [math.comb(bits, k) * (1 - p) ** k * p ** (bits - k) for k in range(bits + 1)]
+    over, radius = 0.0, bits
+    while radius and over + tail[radius] < miss:
+        over += tail[radius]
+        radius -= 1
+    return radius
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,15 +60,12 @@ def _bits(minima: np.ndarray) -> np.ndarray:
     return (_mix(minima) >> _U(63)).astype(np.uint8)
 
 
-def _coder(w: int, segments: int, filter_bits: int, seed: int):
-    """(id, n, parts, hashes) to (id, n, parts, minima, keys, f0, f1); minima only for chunks of a larger set."""
-    n_bits = w * segments + filter_bits
+def _coder(seed: int):
+    """(id, parts, hashes) to (id, parts, minima, code); minima only for chunks of a larger set."""
 
-    def pack(bits: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        weights = (1 << np.arange(w)).astype(np.int64)
-        keys = bits[:, : w * segments].reshape(len(bits), segments, w).astype(np.int64) @ weights
-        f = np.packbits(bits[:, w * segments :], axis=1).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, segments, dtype=np.int32)), pa.array(keys.ravel())), f
+    def pack(minima: np.ndarray) -> pa.Array:
+        words = np.packbits(_bits(minima), axis=1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, BITS // 64, dtype=np.int32)), pa.array(words.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -76,19 +73,15 @@ def _coder(w: int, segments: int, filter_bits: int, seed: int):
                 b = whole.slice(at, 512)
                 lens = pc.list_value_length(b.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64)
                 values = b.column("hashes").flatten().to_numpy(zero_copy_only=False)
-                m = _minima(values, np.concatenate([[0], np.cumsum(lens)])[:-1], n_bits, seed)
-                keys, f = pack(_bits(m))
+                m = _minima(values, np.concatenate([[0], np.cumsum(lens)])[:-1], BITS, seed)
                 part = b.column("parts").to_numpy() > 1
                 minima = pa.array([x.tobytes() if p else None for x, p in zip(m, part)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), b.column("parts"), minima, keys, pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], names=["id", "n", "parts", "minima", "keys", "f0", "f1"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("parts"), minima, pack(m)], names=["id", "parts", "minima", "code"])
 
     def merge(t):
-        m = None
-        for x in t.column("minima").to_pylist():
-            v = np.frombuffer(x, np.uint64)
-            m = v if m is None else np.minimum(m, v)
-        keys, f = pack(_bits(m[None, :]))
-        return pa.table({"id": t.column("id")[:1], "n": t.column("n")[:1], "keys": keys, "f0": f[:, 0].copy(), "f1": f[:, 1].copy()})
+        """The chunks of one set, each of BITS minima."""
+        m = np.minimum.reduce([np.frombuffer(x, np.uint64) for x in t.column("minima").to_pylist()])
+        return pa.table({"id": t.column("id")[:1], "code": pack(m[None, :])})
 
     return run, merge
 
@@ -105,16 +98,56 @@ def set_classes(df: DataFrame, set_id: Column, items: Column, min_size: int = 1)
     return edges, checkpointed(sets.join(reps, ["n", "x", "s", "y"]).select("id", "n", "rep"))
 
 
-def similar_sets(df: DataFrame, set_id: Column, items: Column, threshold: float = 0.7, min_size: int = 3, miss: float = 1e-4, chunk: int = 50_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def _codes(edges: DataFrame, reps: DataFrame, chunk: int, seed: int) -> DataFrame:
+    """(id, code): the one-bit minhash code of every representative; large sets are sketched in chunks whose minima are merged."""
+    run, merge = _coder(seed)
+    parts = F.ceil(F.col("n") / chunk)
+    rows = edges.join(reps, "id").select("id", parts.alias("parts"), F.xxhash64("item").alias("h"))
+    rows = rows.groupBy("id", "parts", F.pmod("h", "parts").alias("part")).agg(F.collect_list("h").alias("hashes"))
+    kind = reps.schema["id"].dataType.simpleString()
+    coded = rows.select("id", "parts", "hashes").mapInArrow(run, f"id {kind}, parts bigint, minima binary, code array<bigint>")
+    if not reps.where(F.col("n") > chunk).isEmpty():
+        coded = checkpointed(coded)
+        large = coded.where("parts > 1").groupBy("id").applyInArrow(merge, f"id {kind}, code array<bigint>")
+        return coded.where("parts = 1").select("id", "code").unionByName(large)
+    return coded.select("id", "code")
+
+
+def _segments(edges: DataFrame, reps: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """(id, n, item, pos, single): each representative's rarest items, one more than two sets at the threshold must share one of.
+
+    item is a number; pos counts from 0, rarest first. Of a set of n items any
+    partner shares at least o = ceil(threshold * n), hence one of the n - o + 1
+    rarest (`single`) and two of the n - o + 2 rarest.
+    """
+    mine = edges.join(reps, "id").select("id", "n", F.xxhash64("item").alias("item"))
+    df = mine.groupBy("item").agg(F.count("*").alias("df"))
+    ranked = mine.join(df, "item")
+    largest = reps.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if largest <= chunk:
+        at = ranked.withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("df", "item")) - 1)
+    else:  # ranks over buckets, so that no set is gathered in a task
+        at = running_total(ranked.withColumn("bucket", F.struct("df", hash_bucket(F.col("item"), -(-largest // chunk)))), ["id"], "bucket", ["item"], F.lit(1), "pos")
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))
+    return at.where(F.col("pos") <= F.col("n") - need + 1).select("id", "n", "item", F.col("pos").cast("long").alias("pos"), (F.col("pos") <= F.col("n") - need).alias("single"), (need == 1).alias("one"))
+
+
+def similar_sets(df: DataFrame, set_id: Column, items: Column, threshold: float = 0.7, min_size: int = 3, miss: float = 1e-12, chunk: int = 50_000, heavy: int = 1000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """Pairs of different sets with intersection / union >= threshold, and the membership of equal sets.
 
     Equal sets form classes first; one representative each goes on. Every
-    representative gets a code of one-bit minhashes. The code's segments are
-    the index: two sets are candidates if they agree in a segment, their sizes
-    allow the threshold, and their filter bits lie within a Hamming radius.
-    Number and width of the segments and the radius are calibrated to miss a pair
-    at the threshold with probability below `miss` (`calibrate`). Candidates are
-    verified on the original sets by counting shared items in an equi-join.
+    representative gets a code of 256 one-bit minhashes, whatever the size of the
+    data, and its segments: the rarest of its items, as many as make it certain
+    (pigeonhole) that two sets at the threshold agree in one. Sets that agree in
+    a segment, whose sizes and positions allow the threshold and whose codes lie
+    within a Hamming radius are candidates; they are verified on the original
+    sets by counting shared items in an equi-join. The segments lose no pair; the
+    radius is calibrated so that a pair at the threshold exceeds it with
+    probability below `miss` (`calibrate`).
+
+    A segment that more than `heavy` sets have is split by a second one: two sets
+    whose first common item is heavy agree in a later one too, so they meet in
+    the pair of items.
 
     A set of more than `chunk` items is sketched in chunks whose minima are
     merged; verification joins edges, so no set is ever an array in one row
@@ -128,25 +161,31 @@ def similar_sets(df: DataFrame, set_id: Column, items: Column, threshold: float
     """
     edges, members = set_classes(df, set_id, items, min_size)
     reps = members.where("id = rep").select("id", "n")
-    w, segments, bits, radius = calibrate(reps.count(), threshold, miss)
-    run, merge = _coder(w, segments, bits, seed)
-    parts = F.ceil(F.col("n") / chunk)
-    rows = edges.join(reps, "id").select("id", "n", parts.alias("parts"), F.xxhash64("item").alias("h"))
-    rows = rows.groupBy("id", "n", "parts", F.pmod("h", "parts").alias("part")).agg(F.collect_list("h").alias("hashes"))
-    kind = reps.schema["id"].dataType.simpleString()
-    coded = checkpointed(rows.select("id", "n", "parts", "hashes").mapInArrow(run, f"id {kind}, n bigint, parts bigint, minima binary, keys array<bigint>, f0 bigint, f1 bigint"))
-    large = coded.where("parts > 1").select("id", "n", "minima").groupBy("id").applyInArrow(merge, f"id {kind}, n bigint, keys array<bigint>, f0 bigint, f1 bigint")
-    codes = coded.where("parts = 1").select("id", "n", "keys", "f0", "f1").unionByName(large)
-    index = codes.select("id", "n", "f0", "f1", F.posexplode("keys").alias("segment", "key")).withColumn("n", F.col("n").cast("int"))
+    radius = calibrate(threshold, miss)
+    segments = checkpointed(_segments(edges, reps, threshold, chunk))
+    hot = checkpointed(segments.where("single").groupBy("item").agg(F.count("*").alias("k")).where(F.col("k") > heavy).select("item"))
+    keys = segments.where("single").select("id", "n", "pos", F.col("item").alias("key"), F.lit(0).cast("long").alias("second"))
+    if not hot.isEmpty():
+        light = segments.where("single").join(hot, "item", "left_anti")
+        first = segments.where("single").join(hot, "item", "left_semi")
+        later = segments.select("id", F.col("item").alias("second"), F.col("pos").alias("p2"))
+        # Sets that may share but one item with a partner meet in the heavy item itself.
+        alone = first.where("one").select("id", "n", "pos", F.col("item").alias("key"), F.lit(1).cast("long").alias("second"))
+        pairs_of = first.join(later, "id").where(F.col("p2") > F.col("pos")).select("id", "n", "pos", F.col("item").alias("key"), "second")
+        keys = light.select("id", "n", "pos", F.col("item").alias("key"), F.lit(0).cast("long").alias("second")).unionByName(pairs_of).unionByName(alone)
+    index = keys.join(_codes(edges, reps, chunk, seed), "id")
     a, b = index.alias("a"), index.alias("b")
     inverse = 1 / threshold
+    most = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # items the two can share from this one on
+    apart = sum((F.bit_count(F.get("a.code", F.lit(i)).bitwiseXOR(F.get("b.code", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
     met = (
-        (F.col("a.segment") == F.col("b.segment"))
-        & (F.col("a.key") == F.col("b.key"))
+        (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.second") == F.col("b.second"))
         & (F.col("a.id") < F.col("b.id"))
         & (F.col("a.n") <= F.col("b.n") * (inverse + 1e-9))
         & (F.col("b.n") <= F.col("a.n") * (inverse + 1e-9))
-        & (F.expr("bit_count(a.f0 ^ b.f0) + bit_count(a.f1 ^ b.f1)") <= radius)
+        & (most * (1 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-6)
+        & (apart <= radius)
     )
     cands = checkpointed(a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).distinct())
     left = cands.join(edges.withColumnRenamed("id", "a"), "a")

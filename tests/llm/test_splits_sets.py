@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chronoweave.llm.related_splits import min_cost_flow, quotas, related_splits, split_sizes
-from chronoweave.llm.similar_sets import calibrate, expanded, links_per_set, similar_sets
+from chronoweave.llm.similar_sets import BITS, _bits, _minima, calibrate, expanded, links_per_set, similar_sets
 from fractions import Fraction
 from tests.conftest import rows
 
@@ -68,8 +69,8 @@ def test_similar_sets_equal_brute_force(spark):
     df = spark.createDataFrame(data, df.schema)
     big = {k: v for k, v in sets.items() if len(v) >= 3}
     want = {(a, b) for a in big for b in big if a < b and 10 * len(big[a] & big[b]) >= 7 * len(big[a] | big[b])}
-    for chunk in (50_000, 8):
-        pairs, members = similar_sets(df, F.col("pattern_id"), F.col("items"), chunk=chunk)
+    for chunk, heavy in ((50_000, 1000), (8, 1)):
+        pairs, members = similar_sets(df, F.col("pattern_id"), F.col("items"), chunk=chunk, heavy=heavy)
         assert {tuple(x) for x in rows(expanded(pairs, members))} == want == {tuple(x) for x in rows(expanded(pairs, members, block=1))}
     links = links_per_set(pairs, members)
     assert links.count() == len(big)
@@ -79,8 +80,36 @@ def test_similar_sets_equal_brute_force(spark):
 
 
 def test_calibration_keeps_its_promise():
-    w, segments, bits, radius = calibrate(60_000, 0.7, 1e-4)
-    assert (1 - 0.85**w) ** segments <= 5.01e-5 and w >= 15 and radius < bits / 2
+    assert calibrate(0.7, 1e-12) < 90 and calibrate(0.7, 0.5) <= 39
+    # Measured on sets at just the threshold: none of 3,000 pairs lies beyond a radius that one in a thousand may exceed.. but for a few.
+    r = np.random.default_rng(1)
+    values, starts, at = [], [], 0
+    for _ in range(3000):
+        both, a, b = (r.integers(0, 2**62, k) for k in (14, 3, 3))
+        for own in (a, b):
+            values += [both, own]
+            starts.append(at)
+            at += 17
+    bits = _bits(_minima(np.concatenate(values), np.array(starts), BITS, 11))
+    apart = (bits[::2] != bits[1::2]).sum(axis=1)
+    assert (apart > calibrate(0.7, 1e-12)).sum() == 0 and (apart > calibrate(0.7, 1e-2)).mean() < 0.02
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.integers(0, 10**6))
+def test_no_pair_at_the_threshold_is_lost(spark, seed):
+    # Sets drawn from few items, so that segments are heavy; every size has pairs at exactly 0.7.
+    r = random.Random(seed)
+    sets = {i: set(r.sample(range(24), r.randrange(3, 20))) for i in range(150)}
+    for i in range(50):
+        base = set(r.sample(range(40), 17))
+        sets[200 + 2 * i], sets[201 + 2 * i] = base, set(list(base)[:14]) | {100 + i, 200 + i, 300 + i}
+    df = spark.createDataFrame([(k, [str(x) for x in v]) for k, v in sets.items()], "id bigint, items array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    for heavy in (1000, 2):
+        assert {tuple(x) for x in rows(expanded(*similar_sets(df, F.col("id"), F.col("items"), heavy=heavy)))} == want
+    low = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert {tuple(x) for x in rows(expanded(*similar_sets(df, F.col("id"), F.col("items"), 0.3, 1, heavy=2)))} == low
 
 
 def test_many_bundles_keep_their_sizes(spark):
