@@ -72,15 +72,15 @@ r AS (SELECT ab.*, p.n_i AS n_a, q.n_i AS n_b, n.n AS n_baskets FROM ab JOIN n U
   WHERE n_ab >= greatest(5, ceil(n.n / 1000)) AND n_ab * n.n >= 5 * p.n_i * q.n_i)
 """
 
+_WORDS = "list_filter(string_split(regexp_replace(translate(lower({s}), '0135', 'oies'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w != '')"
 # p7: the same meaning of a name by brute force, every word against every entry, without segments.
 _P7 = f"""
 WITH k AS (SELECT DISTINCT map_id, trim(drug_name) AS name FROM ndc_to_ingredient WHERE {_id("ingredient_rxcui")} IS NULL AND trim(drug_name) != '' AND map_id IS NOT NULL),
-raw AS (SELECT name, list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w != '' AND NOT regexp_full_match(w, '[0-9]+[a-z]?[a-z]?[a-z]?')) AS ws FROM (SELECT DISTINCT name FROM k)),
-w AS (SELECT name, list_transform(ws, lambda x: translate(x, '0135', 'oies')) AS ws FROM raw),
+w AS (SELECT name, {_WORDS.format(s="name")} AS ws FROM (SELECT DISTINCT name FROM k)),
+e0 AS (SELECT id, {_WORDS.format(s="s")} AS ws FROM (SELECT ingredient_rxcui AS id, ingredient_name AS s FROM ref_ingredients UNION ALL SELECT ingredient_rxcui, unnest(brand_names) FROM ref_ingredients)),
+e AS (SELECT DISTINCT id, array_to_string(ws, '') AS s FROM e0 WHERE len(ws) > 0),
 i AS (SELECT name, ws, unnest(generate_series(1, len(ws))) AS j FROM w WHERE len(ws) > 0),
-v AS (SELECT DISTINCT name, ws[j] AS v, true AS alone FROM i UNION SELECT DISTINCT name, ws[j] || coalesce(ws[j + 1], ''), false FROM i),
-u AS (SELECT * FROM v WHERE length(v) BETWEEN 3 AND 64),
-e AS (SELECT DISTINCT id, lower(regexp_replace(s, '[^A-Za-z0-9]', '', 'g')) AS s FROM (SELECT ingredient_rxcui AS id, ingredient_name AS s FROM ref_ingredients UNION ALL SELECT ingredient_rxcui, unnest(brand_names) FROM ref_ingredients)),
+u AS (SELECT DISTINCT name, array_to_string(ws[j : j + n - 1], '') AS v, n = 1 AS alone FROM i, (SELECT unnest(generate_series(1, (SELECT max(len(ws)) + 1 FROM e0))) AS n) WHERE j + n - 1 <= len(ws)),
 d AS (SELECT v, id, levenshtein(v, s) AS c, length(s) AS n, array_to_string(list_sort(string_split(v, '')), '') AS sv, array_to_string(list_sort(string_split(s, '')), '') AS ss FROM (SELECT DISTINCT v FROM u) JOIN e ON abs(length(v) - length(s)) <= 2),
 h AS (SELECT v, id, c FROM d WHERE c <= CASE WHEN n < 5 THEN 0 WHEN n < 7 THEN 1 WHEN n = 7 THEN 2 ELSE 4 END AND (c <= 2 OR (c = 3 AND n >= 8 AND levenshtein(sv, ss) <= 2) OR (c = 4 AND sv = ss))),
 p AS (SELECT v, min(id) AS id FROM (SELECT DISTINCT u.v, e.id FROM u JOIN e ON starts_with(e.s, u.v) AND length(e.s) > length(u.v) WHERE alone AND length(v) >= 5) GROUP BY v HAVING count(*) = 1),

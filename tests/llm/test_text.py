@@ -79,6 +79,16 @@ def test_names(spark):
     assert set(run(df, refs.limit(0)).values()) == {"NONE"} and run(df.limit(0), refs) == {}
 
 
+def test_names_of_any_length_script_and_number_of_words(spark):
+    long = "abcdefghij" * 12
+    entries = ["crème fraîche", "парацетамол", "vitamin b12 complex forte", "q10", "5fu", "ab", long, "pneumoultra microscopic"]
+    refs = spark.createDataFrame([(str(i), s, []) for i, s in enumerate(entries)], "rx string, ingredient string, brands array<string>")
+    cases = {**{i: (s.upper() if i % 2 else s, str(i)) for i, s in enumerate(entries)}, 20: ("take vitamin b12 complx forte daily", "2"), 21: ("Парацетмол 500 мг", "1"), 22: ("pneumo ultra microscopic", "7"), 23: (long[:60] + "x" + long[60:], "6"), 24: (long[:70], "6"), 25: ("микстура", "NONE")}
+    df = spark.createDataFrame([(k, n) for k, (n, _) in cases.items()], "key bigint, name string")
+    got = {x.key: x.ref_id for x in map_names(df, F.col("key"), F.col("name"), refs, F.col("rx"), F.col("ingredient"), F.col("brands")).collect()}
+    assert got == {k: want for k, (_, want) in cases.items()}
+
+
 def test_plan():
     assert plan({"a": 100, "b": 10}, [("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 3)], 100) == {"a": 50, "b": 20, "c": 0}
 
