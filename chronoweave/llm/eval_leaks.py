@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.common import checkpointed
+
 Q = 8  # a q-gram is eight bytes, read as one integer
-_LONG = 24  # longer words are shortened to this, keeping them distinct by a hash
-_WORD = re.compile(r"[^\W_]+")
+_LONG = 24  # bytes; longer words are shortened to this, keeping them distinct by a hash
+#: Scripts written without blanks, in which every character counts as a word: kana, Han, Thai, Lao, Myanmar, Khmer.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 _QUOTES = dict.fromkeys(map(ord, "'’‘ʼ`´′"), None)
-#: Band width and step: shifts of two words of up to _LONG letters stay inside one band.
+#: Band width and step in bytes: shifts of two words of up to _LONG bytes and their blanks stay inside one band.
 _BAND, _STEP = 128, 64
 _FAR = 1 << 40  # beyond any position in a passage
 
@@ -25,7 +30,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     found = _WORD.findall(text.casefold().translate(_QUOTES))
-    return [w if len(w) <= _LONG else w[:8] + xxhash.xxh64_hexdigest(w) for w in found]
+    return [w if len(w) * 4 <= _LONG or len(w.encode("utf-8", "surrogatepass")) <= _LONG else xxhash.xxh3_128_hexdigest(w.encode("utf-8", "surrogatepass"))[:_LONG] for w in found]
 
 
 def _stream(ws: list[str]) -> bytes:
@@ -68,10 +73,11 @@ class _Index:
         if self.empty:
             return
         g = np.concatenate(grams)
-        order = np.argsort(g, kind="stable")
+        order = np.argsort(g, kind="stable")  # by gram, then item, then position
         self.pos, self.item = np.concatenate(where)[order].astype(np.int64), np.concatenate(item)[order].astype(np.int64)
         self.gram, first, n = np.unique(g[order], return_index=True, return_counts=True)
         self.first, self.n = first, n
+        self.line: np.ndarray | None = None
         self.least, self.longest = np.array(bounds, np.int64).T
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[self._slot(self.gram)] = True
@@ -80,15 +86,37 @@ class _Index:
     def _slot(g: np.ndarray) -> np.ndarray:
         return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
-    def hits(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the stream, item, position in the item) of every shared q-gram."""
+    def shared(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in the stream, number of the q-gram) of every q-gram that an item holds."""
         g = _grams(stream)
         at = np.flatnonzero(self.bloom[self._slot(g)])
         i = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
         ok = self.gram[i] == g[at]
-        at, i = at[ok], i[ok]
-        n = self.n[i]
-        k = np.repeat(self.first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return at[ok], i[ok]
+
+    def slices(self, i: np.ndarray, most: int) -> list[tuple[int, int]]:
+        """Ranges of items over which the q-grams expand to at most `most` hits each, or to one item's."""
+        if self.n[i].sum() <= most:
+            return [(0, len(self.ids))]
+        each = np.bincount(i, minlength=len(self.gram))
+        per = np.bincount(self.item, weights=np.repeat(each, self.n), minlength=len(self.ids))
+        out, lo, size = [], 0, 0.0
+        for k, n in enumerate(per):
+            if k > lo and size + n > most:
+                out.append((lo, k))
+                lo, size = k, 0.0
+            size += n
+        return [*out, (lo, len(self.ids))]
+
+    def hits(self, at: np.ndarray, i: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in the stream, item, position in the item) of every shared q-gram of items lo to hi."""
+        first, n = self.first[i], self.n[i]
+        if (lo, hi) != (0, len(self.ids)):
+            if self.line is None:
+                self.line = np.repeat(np.arange(len(self.gram)), self.n) * len(self.ids) + self.item  # ascending
+            first, end = (np.searchsorted(self.line, i * len(self.ids) + x) for x in (lo, hi))
+            n = end - first
+        k = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.item[k], self.pos[k]
 
 
@@ -122,22 +150,50 @@ def aligned(item: list[str], doc: list[str], run: int, edits: int) -> bool:
     return False
 
 
+#: What is held at once: bytes of documents, and q-gram hits.
+_BATCH_BYTES, _HITS = 4_000_000, 8_000_000
+_kept: dict[str, _Index] = {}
+
+
+def _index(shared, token: str, run: int, edits: int) -> _Index:
+    """The block's index, built once in a worker process."""
+    if token not in _kept:
+        _kept.clear()
+        _kept[token] = _Index(shared.value, run, edits)
+    return _kept[token]
+
+
+def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    lo, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > _BATCH_BYTES:
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    yield lo, len(texts)
+
+
 def _matcher(shared, run: int, edits: int):
+    token = uuid.uuid4().hex
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(shared.value, run, edits)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
+        index = _index(shared, token, run, edits)
+        for b in batches:
+            if index.empty:
+                continue
+            texts = b.column("text").to_pylist()
+            for lo, hi in _batches(texts):
+                docs = [words(t) for t in texts[lo:hi]]
+                streams = [_stream(w) for w in docs]
+                gap = b"\n" * Q
+                starts = np.cumsum([0, *(len(s) + Q for s in streams)])
+                place, gram = index.shared(np.frombuffer(gap.join([*streams, b""]), np.uint8))
                 found: list[tuple[int, int]] = []
-                if not index.empty:
-                    docs = [words(t) for t in b.column("text").to_pylist()]
-                    streams = [_stream(w) for w in docs]
-                    gap = b"\n" * Q
-                    starts = np.cumsum([0, *(len(s) + Q for s in streams)])
-                    at, item, pos = index.hits(np.frombuffer(gap.join([*streams, b""]), np.uint8))
+                for first, last in index.slices(gram, _HITS):
+                    at, item, pos = index.hits(place, gram, first, last)
                     doc = np.searchsorted(starts, at, side="right") - 1
-                    found = sorted(_verified(index, docs, doc, at - starts[doc], item, pos, run, edits))
-                ids = b.column("id").take(pa.array([d for d, _ in found], pa.int64()))
+                    found += sorted(_verified(index, docs, doc, at - starts[doc], item, pos, run, edits))
+                ids = b.column("id").take(pa.array([lo + d for d, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for _, i in found], pa.int64())], names=["doc_id", "item_id"])
 
     return match
@@ -202,8 +258,8 @@ def eval_leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame,
 
     Null or empty texts and passages, and passages of fewer than `run` words,
     match nothing; repeated rows give one result row; an empty table gives no
-    rows; words of more than 24 letters are compared by a hash; other columns are
-    ignored.
+    rows; words of more than 24 bytes are compared by a hash, and each character of
+    a script without blanks is a word; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = items.select(item_id.cast("bigint").alias("i"), passage.alias("p")).where("i is not null and p is not null").distinct()
@@ -213,7 +269,10 @@ def eval_leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame,
     out = None
     for k in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([(r.i, r.p) for r in own.collect()])
+        shared = spark.sparkContext.broadcast([(r.i, r.p) for r in own.collect()])  # at most about block_chars characters
         part = text_rows.mapInArrow(_matcher(shared, run, edits), "doc_id bigint, item_id bigint")
+        if blocks > 1:  # one block after another: no two are held at once
+            part = checkpointed(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,42 @@ def test_leaks_against_brute_force(spark):
     assert leaks(spark, docs[:3], []) == set() and leaks(spark, [], items) == set()
 
 
+def test_leaks_in_wide_scripts(spark):
+    r = random.Random(8)
+    cyrillic = ["".join(r.choice("абвгдежзиклмнопрст") for _ in range(r.choice([3, 6, 24, 30]))) for _ in range(200)]
+    items = [(i, " ".join(r.choice(cyrillic) for _ in range(40))) for i in range(6)] + [(i, "".join(r.choice("語彙表文書記録患者診断薬品検査結果") for _ in range(60))) for i in range(6, 10)]
+    docs = []
+    for k in range(120):
+        item = r.randrange(10)
+        ws = words(items[item][1])
+        n = r.choice([15, 17, 18, 22, 30])
+        at = r.randrange(len(ws) - n)
+        part = ws[at : at + n]
+        for _ in range(r.randrange(4)):  # two long words added, or changed
+            j = r.randrange(len(part))
+            part[j : j + 1] = r.choice([[part[j], r.choice(cyrillic)], [part[j], "я" * 24], ["語"]])
+        filler = [r.choice(cyrillic) for _ in range(20)]
+        docs.append((k, " ".join(filler) + " " + ("" if item >= 6 else " ").join(part) + " " + " ".join(filler)))
+    want = {(d, i) for d, t in docs for i, p in items if sellers(words(p), words(t), 18, 2)}
+    assert len(want) > 40 and leaks(spark, docs, items) == want
+
+
+def test_shared_grams_are_expanded_in_slices():
+    from chronoweave.llm import eval_leaks as El
+
+    r = random.Random(3)
+    common = " ".join(f"please answer question {i} with one letter" for i in range(6))
+    items = [(i, common + " " + " ".join(f"w{r.randrange(400)}" for _ in range(30))) for i in range(30)]
+    index = El._Index(items, 18, 2)
+    stream = np.frombuffer(El._stream(words(common + " " + items[4][1])), np.uint8)
+    at, i = index.shared(stream)
+    whole = index.slices(i, 10**9)
+    parts = index.slices(i, 2000)
+    assert whole == [(0, 30)] and len(parts) > 5
+    got = [np.concatenate(x) for x in zip(*(index.hits(at, i, lo, hi) for lo, hi in parts))]
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in index.hits(at, i, *whole[0]))))
+
+
 def test_names(spark):
     refs = spark.createDataFrame([("1", "tanioneazole", ["maexyyl"], 0), ("2", "drebiostatin", [], 0), ("3", "bobiazole", None, 0), ("4", None, None, 0), ("5", "drebiosartan", [], 0)], "rx string, ingredient string, brands array<string>, v int")
     cases = {
