@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm import encoding_repair as Er
 from chronoweave.llm.eval_leaks import aligned, eval_leaks, words
 from chronoweave.llm.name_mapping import map_names
-from chronoweave.llm.source_mixing import VOCABULARY, mixed, plan
+from chronoweave.llm.source_mixing import GOLDEN, POINTS, VOCABULARY, golden_point, mixed, planned, schedule_of
 from tests.conftest import rows
 
 DOC = "doc_id bigint, text string, item_id int"
@@ -126,8 +126,19 @@ def test_names_of_any_length_script_and_number_of_words(spark):
     assert got == {k: want for k, (_, want) in cases.items()}
 
 
-def test_plan():
-    assert plan({"a": 100, "b": 10}, [("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 3)], 100) == {"a": 50, "b": 20, "c": 0}
+def test_plan(spark):
+    have = spark.createDataFrame([("a", 100), ("b", 10)], "source string, available_tokens bigint")
+    goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 3), (None, 0.3, 1)], "source string, target_share double, max_repeats int")
+    assert {r.source: r.planned_tokens for r in planned(have, goal, 100)[0].collect()} == {"a": 50, "b": 20, "c": 0}
+
+
+def test_schedule_of_many_sources(spark):
+    n = 12_000
+    slots = spark.range(n).select(F.format_string("s%05d", "id").alias("source"), (1 + F.col("id") % 3).alias("slots"))
+    got = schedule_of(slots).groupBy("source").agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+    assert got.join(slots, "source").where("n = slots and lo = 0 and hi = slots - 1").count() == n
+    g = [(i * GOLDEN) % POINTS for i in range(0, 5_000_000, 9_973)]
+    assert [r[0] for r in spark.range(0, 5_000_000, 9_973).select(golden_point(F.col("id"))).collect()] == g
 
 
 @pytest.mark.skipif(not __import__("os").path.exists(VOCABULARY), reason="no vocabulary file")
@@ -137,9 +148,14 @@ def test_mixture(spark):
     t = spark.createDataFrame([("a", 0.7, 1), ("b", 0.2, 4), ("c", 0.1, 2)], "source string, target_share double, max_repeats int")
     draws, report = mixed(d, t, total_tokens=12_000, block_tokens=100)
     r = {x.source: x for x in report.collect()}
-    assert abs(r["a"].drawn_tokens - 8400) < 150 and abs(r["b"].drawn_tokens - 2400) < 150 and r["c"].drawn_tokens == 0 and r["c"].actual_share == 0
-    used = draws.groupBy("source", "doc_id").count().groupBy("source").agg(F.max("count").alias("m")).collect()
+    assert [r[k].drawn_tokens for k in "abc"] == [r[k].planned_tokens for k in "abc"] == [8400, 2400, 0] and r["c"].actual_share == 0
+    used = draws.groupBy("source", "doc_id").agg(F.countDistinct("repeat_no").alias("count")).groupBy("source").agg(F.max("count").alias("m")).collect()
     assert {x.source: x.m for x in used}["a"] == 1 and {x.source: x.m for x in used}["b"] <= 4
+    # Every block is equal but each source's last; no token of a repeat is drawn twice.
+    blocks = draws.groupBy("source", "slot", "block").agg(F.sum("n_tokens").alias("n")).collect()
+    assert all(x.n == 100 for x in blocks) and len(blocks) == 108 and len({x.slot for x in blocks}) == 108
+    spans = sorted((x.source, x.doc_id, x.repeat_no, x.first_token, x.first_token + x.n_tokens) for x in draws.collect())
+    assert all(a[:3] != b[:3] or a[4] <= b[3] for a, b in zip(spans, spans[1:]))
     early = draws.where("slot < 40").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()
     share = {x.source: x.t for x in early}
     assert abs(share["a"] / sum(share.values()) - 7 / 9) < 0.08
