@@ -61,6 +61,15 @@ def test_value_counts(spark, data):
     assert got == {v: (len([x for x in u if x[0] == v]), len({r for w, r, _ in u if w == v} - {None}), total) for v in {x[0] for x in u} - {None, ""}}
 
 
+def test_a_hot_pair_and_shifted_nulls(spark):
+    # One record and value hold most rows; rows that differ only in which column is null are two.
+    data = [("a", "1", i, None) for i in range(500)] + [("a", "1", 7, None)] * 3 + [("a", "1", None, 7), ("b", "1", 7, None), ("b", "1", None, 7), ("a", None, 1, 1), ("a", "2", 1, 1)]
+    df = spark.createDataFrame(data, "v string, r string, x int, y int")
+    got = {r.value: (r.n_rows, r.n_records, r.total_records) for r in value_counts(df, F.col("v"), F.col("r")).collect()}
+    assert got == {"a": (503, 2, 2), "b": (2, 1, 2)}
+    assert value_counts(df.limit(0), F.col("v"), F.col("r")).count() == 0
+
+
 def test_bands(spark):
     df = spark.createDataFrame([("a", str(i)) for i in range(11)] + [("b", str(i)) for i in range(10)] + [("c", "1"), ("d", None)] + [("x", str(i)) for i in range(100)], "v string, r string")
     got = {r.value: r.band for r in banded(value_counts(df, F.col("v"), F.col("r")), 2, 0.1).collect()}
