@@ -19,7 +19,7 @@ _LONG = 24  # bytes; longer words are shortened to this, keeping them distinct b
 #: Scripts written without blanks, in which every character counts as a word: kana, Han, Thai, Lao, Myanmar, Khmer.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
-_QUOTES = dict.fromkeys(map(ord, "'’‘ʼ`´′"), None)
+_QUOTES = re.compile("['’‘ʼ`´′]")
 #: Band width and step in bytes: shifts of two words of up to _LONG bytes and their blanks stay inside one band.
 _BAND, _STEP = 128, 64
 _FAR = 1 << 40  # beyond any position in a passage
@@ -29,14 +29,24 @@ def words(text: str | None) -> list[str]:
     """Lower-case words; punctuation, spacing, line breaks and quote marks do not matter."""
     if not text:
         return []
-    found = _WORD.findall(text.casefold().translate(_QUOTES))
-    return [w if len(w) * 4 <= _LONG or len(w.encode("utf-8", "surrogatepass")) <= _LONG else xxhash.xxh3_128_hexdigest(w.encode("utf-8", "surrogatepass"))[:_LONG] for w in found]
+    found = _WORD.findall(_QUOTES.sub("", text.casefold()))
+    return [w if len(w) * 4 <= _LONG or (len(w) <= _LONG and w.isascii()) else _short(w) for w in found]
+
+
+def _short(w: str) -> str:
+    b = w.encode("utf-8", "surrogatepass")
+    return w if len(b) <= _LONG else xxhash.xxh3_128_hexdigest(b)[:_LONG]
 
 
 def _stream(ws: list[str]) -> bytes:
     return " ".join(ws).encode("utf-8", "surrogatepass")
 
 
+def _edges(ws: list[str]) -> np.ndarray:
+    """Where each word starts in the stream, and its end."""
+    return np.cumsum([0, *(len(w.encode("utf-8", "surrogatepass")) + 1 for w in ws)])
+
+
 def _grams(stream: np.ndarray) -> np.ndarray:
     """The q-grams of a byte stream, one per position."""
     if len(stream) < Q:
@@ -77,6 +87,7 @@ class _Index:
         self.pos, self.item = np.concatenate(where)[order].astype(np.int64), np.concatenate(item)[order].astype(np.int64)
         self.gram, first, n = np.unique(g[order], return_index=True, return_counts=True)
         self.first, self.n = first, n
+        self.edges = [_edges(ws) for ws in self.words]
         self.line: np.ndarray | None = None
         self.least, self.longest = np.array(bounds, np.int64).T
         self.bloom = np.zeros(1 << 22, bool)
@@ -150,8 +161,14 @@ def aligned(item: list[str], doc: list[str], run: int, edits: int) -> bool:
     return False
 
 
+def carried(item: list[str], doc: list[str], run: int, edits: int) -> bool:
+    """As `aligned`, but unchanged copies are told by a search for the words as they stand."""
+    text = f" {' '.join(doc)} "
+    return any(f" {' '.join(item[k : k + run])} " in text for k in range(len(item) - run + 1)) or aligned(item, doc, run, edits)
+
+
 #: What is held at once: bytes of documents, and q-gram hits.
-_BATCH_BYTES, _HITS = 4_000_000, 8_000_000
+_BATCH_BYTES, _HITS = 1_000_000, 4_000_000
 _kept: dict[str, _Index] = {}
 
 
@@ -211,6 +228,7 @@ def _verified(index: _Index, docs: list[list[str]], doc: np.ndarray, at: np.ndar
         return set()
     diag = at - pos
     out: set[tuple[int, int]] = set()
+    edges: dict[int, np.ndarray] = {}
     low = int(diag.min()) - _BAND
     n_bands = (int(diag.max()) - low) // _STEP + 2
     for shift in (0, 1):  # two sets of bands, each starting in the middle of the other's
@@ -225,20 +243,25 @@ def _verified(index: _Index, docs: list[list[str]], doc: np.ndarray, at: np.ndar
         who = k // n_bands % len(index.ids)
         line = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])]) * _FAR + p
         dense = np.searchsorted(line, line + index.longest[who], side="right") - np.arange(len(line)) >= index.least[who]
-        for g in np.flatnonzero(dense):
+        # Dense hits that follow each other closely are one region.
+        at_d = np.flatnonzero(dense)
+        if not len(at_d):
+            continue
+        joined = np.zeros(len(at_d), bool)
+        joined[1:] = (np.diff(at_d) == 1) & (k[at_d][1:] == k[at_d][:-1]) & (np.diff(p[at_d]) < Q)
+        begins = np.flatnonzero(~joined)
+        ends = at_d[np.append(begins[1:], len(at_d)) - 1]
+        for g, end in zip(at_d[begins].tolist(), ends.tolist()):
             d, i = divmod(int(k[g] // n_bands), len(index.ids))
-            if (d, i) in out or (g and dense[g - 1] and k[g] == k[g - 1] and p[g] - p[g - 1] < Q):
-                continue  # the region that starts at the hit before covers this one
-            end = g
-            while end + 1 < len(k) and dense[end + 1] and k[end + 1] == k[g] and p[end + 1] - p[end] < Q:
-                end += 1
+            if (d, i) in out:
+                continue
             s = slice(g, int(np.searchsorted(line, line[end] + index.longest[i], side="right")))
-            ws, iw = docs[d], index.words[i]
-            dw = np.cumsum([0, *(len(w.encode("utf-8", "surrogatepass")) + 1 for w in ws)])
-            ww = np.cumsum([0, *(len(w.encode("utf-8", "surrogatepass")) + 1 for w in iw)])
+            if d not in edges:
+                edges[d] = _edges(docs[d])
+            dw, ww = edges[d], index.edges[i]
             d0, d1 = np.searchsorted(dw, [a[s].min(), a[s].max() + Q])
             i0, i1 = np.searchsorted(ww, [p[s].min(), p[s].max() + Q])
-            if aligned(iw[max(0, i0 - run) : i1 + run], ws[max(0, d0 - run - edits) : d1 + run + edits], run, edits):
+            if carried(index.words[i][max(0, i0 - run) : i1 + run], docs[d][max(0, d0 - run - edits) : d1 + run + edits], run, edits):
                 out.add((d, i))
     return out
 
