@@ -61,17 +61,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: White space that regular expressions call \s; taken out by position, which costs less than an expression.
+_BLANKS = " \t\n\x0b\f\r"
+
+
 def clean_id(c: Column | str) -> Column:
     """An identifier's digits: no blanks, no trailing `.0`; empty is null."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(F.regexp_replace(c.cast("string"), r"\s+", ""), r"\.0$", "")
+    s = F.translate(c.cast("string"), _BLANKS, "")
+    s = F.when(F.endswith(s, F.lit(".0")), F.left(s, F.length(s) - 2)).otherwise(s)
     return F.when(s != "", s)
 
 
 def clean_code(c: Column | str) -> Column:
     """A diagnosis code without dots and blanks, in upper case; empty is null."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.upper(F.regexp_replace(c.cast("string"), r"[\s.]+", ""))
+    s = F.upper(F.translate(c.cast("string"), _BLANKS + ".", ""))
     return F.when(s != "", s)
 
 
