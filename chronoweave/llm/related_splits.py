@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from chronoweave.common import ROWS_PER_BUCKET, checkpointed, hash_bucket, runni
 from chronoweave.operators.graph import components
 
 
-def min_cost_flow(n: int, arcs: list[tuple[int, int, int, Fraction]], source: int, sink: int) -> list[int]:
+def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
     """Integral maximum flow of least cost by successive shortest paths with potentials.
 
     arcs: (from, to, capacity, cost), with costs of either sign and no negative
@@ -69,66 +70,145 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, Fraction]], source: in
             v = to[by[v] ^ 1]
 
 
-#: Bundles of one size that a min-cost flow rounds together.
-_AT_ONCE = 64
+#: Components that one min-cost flow rounds together.
+_AT_ONCE = 16
 
 
 def quotas(bundles: list[tuple[int, int, int]], shares: list[Fraction]) -> list[list[int]]:
     """Components of each bundle that each split gets.
 
     bundles: (records per component, positive records per component, components).
-    Size classes are placed from the largest down. The fractional optimum of a
-    class gives every bundle in it the splits' shares of what they still lack, so
-    a giant component that overfills a share is made up for by the smaller ones.
-    It is rounded to whole components: the whole parts stay; the rest is a
-    min-cost flow from bundles to splits whose arc costs are the deviations from
-    the fractions and whose split costs are the convex deviations in records.
-    A class of more than _AT_ONCE bundles is rounded in parts of that many, each
-    starting from the deviation that the parts before it left.
+    From the largest components down, the fractional optimum gives every bundle
+    the splits' shares of the records they still lack, leaning by its positives so
+    that the splits' rates of positives become equal; a giant component that
+    overfills a share is made up for by the smaller ones. The whole parts of it
+    stay. What is left over, at most one component a split and bundle, is rounded
+    by min-cost flows over _AT_ONCE components of neighbouring sizes each: from
+    components through the rich or the poor side of a split (more or fewer
+    positives than usual) to the split and the sink. Units into a split cost the
+    growth of its squared deviation in records, units into its rich side the
+    growth of its squared deviation in positives, both measured on all that has
+    been placed so far, so a flow makes up for what those before it had to leave.
+    Components of less than half the size wait for the flow of the larger ones.
     """
     splits = len(shares)
-    total = sum(size * m for size, _, m in bundles)
-    placed = [0] * splits
+    scale = math.lcm(*(p.denominator for p in shares))
+    part = [int(p * scale) for p in shares]  # whole numbers throughout: deviations are kept times `scale`
+    total, positives = sum(z * m for z, _, m in bundles), sum(y * m for _, y, m in bundles)
+    rate = positives / total if total else 0.0
+    placed, labels = [0] * splits, [0.0] * splits  # labels: positives beyond the usual rate
+    seen = 0.0
+    pending, carry = [0.0] * splits, [0.0] * splits  # records left over by the fractional optimum, and by the flows, of the present size
     got = [[0] * splits for _ in bundles]
-    by_size: dict[int, list[int]] = {}
-    for i, (size, _, _) in enumerate(bundles):
-        by_size.setdefault(size, []).append(i)
-    for size in sorted(by_size, reverse=True):
-        whole = by_size[size]
-        lack = [max(Fraction(0), shares[s] * total - placed[s]) for s in range(splits)]
-        part = [x / sum(lack) for x in lack] if sum(lack) else shares
-        for i in whole:
-            got[i] = [int(p * bundles[i][2]) for p in part]
-        before = [Fraction(0)] * splits
-        for lo in range(0, len(whole), _AT_ONCE):
-            own = whole[lo : lo + _AT_ONCE]
-            rest = [bundles[i][2] - sum(got[i]) for i in own]
-            need = sum(rest)
-            if need:
-                off = [before[s] + size * sum(got[i][s] - part[s] * bundles[i][2] for i in own) for s in range(splits)]
-                source, sink, first = 0, 1, 2 + len(own)
-                arcs: list[tuple[int, int, int, Fraction]] = []
-                for k, i in enumerate(own):
-                    arcs.append((source, 2 + k, rest[k], Fraction(0)))
-                    for s in range(splits):
-                        over = part[s] * bundles[i][2] - got[i][s]
-                        arcs.append((2 + k, first + s, 1, size * (1 - 2 * over)))
-                        arcs.append((2 + k, first + s, rest[k], size * Fraction(3)))
-                for s in range(splits):
-                    for k in range(need):  # marginal deviation of the k-th component of this size
-                        d = off[s] + size * k
-                        arcs.append((first + s, sink, 1, 2 * (abs(d + size) - abs(d))))
-                flow = min_cost_flow(first + splits, arcs, source, sink)
-                at = 0
-                for i in own:
-                    at += 1
-                    for s in range(splits):
-                        got[i][s] += flow[at] + flow[at + 1]
-                        at += 2
+    # Largest first; among equal sizes, components rich and poor in positives take turns (golden-ratio order).
+    by_label = sorted(range(len(bundles)), key=lambda i: (-bundles[i][0], bundles[i][1]))
+    rank = {i: k * 0.6180339887498949 % 1.0 for k, i in enumerate(by_label)}
+    order = sorted(by_label, key=lambda i: (-bundles[i][0], rank[i]))
+    left: list[tuple[int, int]] = []  # (bundle, components)
+
+    def put(i: int, s: int, n: int) -> None:
+        nonlocal seen
+        z, y, _ = bundles[i]
+        got[i][s] += n
+        placed[s] += n * z
+        labels[s] += n * (y - rate * z)
+        seen += n * (y - rate * z)
+
+    def lacks() -> list[float]:
+        lack = [max(0.0, part[s] * total - scale * (placed[s] + pending[s])) for s in range(splits)]
+        whole = sum(lack)
+        return [x / whole for x in lack] if whole else [p / scale for p in part]
+
+    def due(want: list[float], records: float, extra: float) -> list[float]:
+        """Positives beyond the usual rate that each split should get of the next records, for all splits to end at one rate."""
+        after = sum(placed) + records
+        return [(seen + extra) * (placed[s] + want[s] * records) / after - labels[s] for s in range(splits)]
+
+    def room(share: float, change: float) -> float:
+        """By how much a change of a share must be divided to leave it between 0 and 1."""
+        free = 1 - share if change > 0 else share
+        return abs(change) / free if free > 0 else math.inf if change else 0.0
+
+    def settle() -> None:
+        """Place what is left over by one flow."""
+        units = sum(n for _, n in left)
+        size = sum(bundles[i][0] * n for i, n in left) / units
+        # Records: what the fractional optimum gives each split of these components, and what the flow before owes it.
+        aim = [p + c for p, c in zip(pending, carry)]
+        want = [max(0.0, x) / (size * units) for x in aim]
+        extra = [(bundles[i][1] - rate * bundles[i][0]) for i, _ in left]
+        middle = sum(e * n for e, (_, n) in zip(extra, left)) / units
+        rich = [e > middle for e in extra]
+        n_rich = sum(n for r, (_, n) in zip(rich, left) if r)
+        high = sum(e * n for e, r, (_, n) in zip(extra, rich, left) if r) / max(1, n_rich)
+        low = sum(e * n for e, r, (_, n) in zip(extra, rich, left) if not r) / max(1, units - n_rich)
+        gap = high - low
+        # Rich components each split should get.
+        owed = due(want, size * units, high * n_rich + low * (units - n_rich))
+        goal = [(owed[s] - low * want[s] * units) / gap if gap > 1e-9 else 0.0 for s in range(splits)]
+        source, sink, node = 0, 1, 2 + len(left)
+        arcs: list[tuple[int, int, int, int]] = []
+        whole = lambda x: int(round(x * 1024))
+        for k, (i, n) in enumerate(left):
+            arcs.append((source, 2 + k, n, 0))
             for s in range(splits):
-                before[s] += size * sum(got[i][s] - part[s] * bundles[i][2] for i in own)
+                arcs.append((2 + k, node + s + (splits if rich[k] else 0), n, 0))
+        for s in range(splits):
+            for k in range(n_rich if gap > 1e-9 else 0):
+                arcs.append((node + splits + s, node + s, 1, whole(gap * gap * (2 * (k - goal[s]) + 1))))
+            for k in range(units):
+                arcs.append((node + s, sink, 1, whole(size * (size * (2 * k + 1) - 2 * aim[s]))))
+        flow = min_cost_flow(node + 2 * splits, arcs, source, sink)
+        at = 0
+        for i, _ in left:
+            for s in range(splits):
+                if flow[at + 1 + s]:
+                    put(i, s, flow[at + 1 + s])
+            at += 1 + splits
+        for s in range(splits):
+            carry[s] = aim[s] - sum(bundles[i][0] * flow[k * (1 + splits) + 1 + s] for k, (i, _) in enumerate(left))
+            pending[s] = 0.0
+        left.clear()
+
+    same: dict[int, list[int]] = {}
+    for i in order:
+        same.setdefault(bundles[i][0], []).append(i)
+    for own in same.values():
+        own.sort(key=lambda b: bundles[b][1])
+    spread: dict[int, tuple[float, list[float], list[float]]] = {}
+    waiting = 0
+    for i in order:
+        if left and 2 * bundles[i][0] < bundles[left[0][0]][0]:  # much smaller ones can still make up for these
+            settle()
+            waiting = 0
+        z, y, m = bundles[i]
+        if z not in spread:  # the first of its size: how its bundles' shares lean by their positives to make up for the drift
+            own = same[z]
+            mean = sum(bundles[b][1] * bundles[b][2] for b in own) / sum(bundles[b][2] for b in own)
+            moment = sum(bundles[b][2] * (bundles[b][1] - mean) ** 2 for b in own)
+            n, want = sum(bundles[b][2] for b in own), lacks()
+            carry = [0.0] * splits
+            extra = n * (mean - rate * z)
+            lean = [(d - w * extra) / moment if moment > 1e-9 else 0.0 for d, w in zip(due(want, n * z, extra), want)]
+            # No further than all shares stay between 0 and 1, so that the records remain as they are.
+            ends = (bundles[own[0]][1] - mean, bundles[own[-1]][1] - mean)
+            least = max(1.0, *(room(w, t * e) for t, w in zip(lean, want) for e in ends))
+            spread[z] = (mean, want, [t / least for t in lean])
+        mean, want, lean = spread[z]
+        want = [min(1.0, max(0.0, w + t * (y - mean))) for w, t in zip(want, lean)]
+        whole = [int(w * m) for w in want]
+        for s in range(splits):
+            put(i, s, whole[s])
         for s in range(splits):
-            placed[s] += size * sum(got[i][s] for i in whole)
+            pending[s] += z * (want[s] * m - whole[s])
+        if rest := m - sum(whole):
+            left.append((i, rest))
+            waiting += rest
+        if waiting >= _AT_ONCE:
+            settle()
+            waiting = 0
+    if left:
+        settle()
     return got
 
 

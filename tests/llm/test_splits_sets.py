@@ -40,14 +40,14 @@ def test_sizes_are_reached_and_a_giant_group_fits(spark):
     assert assign(spark, []).count() == 0
 
 
-def test_many_bundles_are_merged(spark):
+def test_many_bundles_are_joined(spark):
     data = [(str(i), f"{i}-{j}", 0, "") for i in range(12) for j in range(i + 1)]
     assert assign(spark, data, max_bundles=3).count() == len(data)
 
 
 def test_flow():
     # Two units from 0 to 3: the cheaper path first, then the other.
-    arcs = [(0, 1, 1, Fraction(1)), (0, 2, 1, Fraction(5)), (1, 3, 1, Fraction(0)), (2, 3, 1, Fraction(-2))]
+    arcs = [(0, 1, 1, 1), (0, 2, 1, 5), (1, 3, 1, 0), (2, 3, 1, -2)]
     assert min_cost_flow(4, arcs, 0, 3) == [1, 1, 1, 1]
     q = quotas([(1, 0, 10), (7, 2, 1), (3, 1, 2)], [Fraction(7, 10), Fraction(1, 10), Fraction(2, 10)])
     assert [sum(x) for x in q] == [10, 1, 2]
@@ -127,3 +127,22 @@ def test_a_size_in_parts():
     assert [sum(x) for x in got] == [m for *_, m in bundles]
     n = sum(m for *_, m in bundles)
     assert all(abs(sum(x[s] for x in got) - p * n) <= 1 for s, p in enumerate((0.7, 0.1, 0.2)))
+
+
+def test_labels_are_balanced():
+    r = random.Random(5)
+    shares = [Fraction(7, 10), Fraction(1, 10), Fraction(2, 10)]
+    cases = [
+        [(z, y, 1) for z in range(1, 40) for y in (0, z)],  # single components, half all positive, half all negative
+        [(1, 0, 1000), (1, 1, 300), (1500, 100, 1)],
+        [(1, 0, 1000), (1, 1, 300), (2, 0, 100), (2, 1, 50), (500, 400, 1)],
+        [(z, r.randrange(z + 1), r.randrange(1, 4)) for z in range(1, 400)],
+    ]
+    for bundles in cases:
+        got = quotas(bundles, shares)
+        assert [sum(x) for x in got] == [m for *_, m in bundles]
+        n, pos = (sum(b[k] * b[2] for b in bundles) for k in (0, 1))
+        for s, p in enumerate(shares):
+            size, own = (sum(b[k] * x[s] for b, x in zip(bundles, got)) for k in (0, 1))
+            assert abs(size / n - p) < 0.02 and abs(own / size - pos / n) < 0.02
+    assert quotas([], shares) == []
