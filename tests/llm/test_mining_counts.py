@@ -46,6 +46,15 @@ def test_frequent_sequences_equal_enumeration(spark):
         assert got.first().n_total == total
 
 
+def test_many_frequent_tokens_need_few_passes(spark):
+    # 3,000 frequent tokens have nine million ordered pairs; only those that occur are counted.
+    data = [(str(i), [x for j in range(1500) for x in ("[VISIT]", f"C:9_{j if i % 2 else j + 1500}")][: 2 * 1500 - 2 * (i % 4)], 1) for i in range(8)]
+    df = spark.createDataFrame(data, SEQ)
+    got = frequent_sequences(df, min_frac=0.0, min_abs=4, max_len=2)
+    # Four entities each share their first 1,498 and 1,497 tokens.
+    assert got.agg(F.count("*"), F.min("n_entities"), F.max("n_entities")).first()[:] == (1498 * 1497 // 2 + 1497 * 1496 // 2, 4, 4)
+
+
 def test_frequent_sequences_of_nothing(spark):
     assert frequent_sequences(spark.createDataFrame([], SEQ)).count() == 0
     assert frequent_sequences(spark.createDataFrame([("1", ["C:9_a"] * 3, 1)], SEQ)).count() == 0
