@@ -13,6 +13,38 @@ def code(c: str) -> str:
     return rf"nullif(upper(regexp_replace({c}, '[\s.]+', '', 'g')), '')"
 
 
+#: A mined pattern as text.
+_TEXT = "array_to_string(list_transform(pat, lambda s: CASE WHEN len(s) > 1 THEN '{' || array_to_string(s, ', ') || '}' ELSE s[1] END), ' -> ')"
+#: Upper tail of chi-square with one degree of freedom, z = sqrt(chi / 2), by the series of the error function, 200 terms in logarithms.
+_TAIL = "CASE WHEN chi = 0 THEN 1.0 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-chi / 2) * list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(sqrt(chi / 2)) - (n + 1) * ln(2.0) + ln(sqrt(pi())) - lgamma(n + 1.5) + n * ln(2.0))))) END"
+
+
+def _grown() -> dict[str, str]:
+    """Item-set sequences grown token by token: within the last step or in a later block, frequent ones only."""
+    out = {}
+    for k in range(1, 5):
+        if k > 1:
+            out[f"g{k}"] = (
+                f"SELECT DISTINCT g.key, list_append(pat[:-2], list_append(pat[-1], i.a)) AS pat, i.a AS last, b FROM g{k - 1}f g JOIN it i ON i.key = g.key AND i.block_idx = b AND i.a > last "
+                f"UNION SELECT DISTINCT g.key, list_append(pat, [i.a]), i.a, i.block_idx FROM g{k - 1}f g JOIN it i ON i.key = g.key AND i.block_idx > b"
+            )
+        out[f"g{k}f"] = f"SELECT * FROM g{k} JOIN (SELECT pat FROM g{k} GROUP BY pat HAVING count(DISTINCT key) >= (SELECT least FROM gleast)) USING (pat)"
+    return out
+
+
+def _aligned(name: str, patterns: str, blocks: str) -> dict[str, str]:
+    """Leftmost matches of patterns of up to four steps: name4 has (pattern_id, steps, key, hits)."""
+    out = {f"{name}1": f"SELECT pattern_id, steps, key, [min(block_idx)] AS hits FROM {patterns} JOIN {blocks} ON list_has_all(items, steps[1]) GROUP BY pattern_id, steps, key"}
+    for k in range(2, 5):
+        out[f"{name}{k}"] = (
+            f"SELECT * FROM {name}{k - 1} WHERE len(steps) < {k} UNION ALL "
+            f"SELECT pattern_id, steps, m.key, list_append(hits, min(block_idx)) FROM {name}{k - 1} m JOIN {blocks} v ON v.key = m.key AND v.block_idx > hits[-1] AND list_has_all(items, steps[{k}]) WHERE len(steps) >= {k} GROUP BY pattern_id, steps, m.key, hits"
+        )
+    return out
+
+
+_GROWN = _grown()
+
 #: Named subqueries; a statement gets those it uses, in this order.
 PARTS = {
     "vraw": f"SELECT {ident('subject_id')} AS entity, {ident('hadm_id')} AS visit, admittime AS s, CASE WHEN dischtime >= admittime THEN dischtime END AS e, nullif(trim(regexp_replace(upper(admission_type), '[\\s_\\-]+', ' ', 'g')), '') AS kind, loaded_at FROM admissions",
@@ -57,21 +89,29 @@ PARTS = {
     "sp": "SELECT key, a, min(block_idx) AS f, max(block_idx) AS l FROM it GROUP BY ALL",
     "pr": "SELECT x.a || ' -> ' || y.a AS pattern_id, x.a AS a, y.a AS b, count(*) AS support FROM sp x JOIN sp y ON x.key = y.key AND x.f < y.l GROUP BY ALL",
     "ep": "SELECT pattern_id AS pattern, support FROM pr UNION ALL SELECT a, count(DISTINCT key) FROM it GROUP BY a UNION ALL SELECT '{' || p.a || ', ' || q.a || '}', count(DISTINCT p.key) FROM it p JOIN it q ON p.key = q.key AND p.block_idx = q.block_idx AND p.a < q.a GROUP BY 1",
-    "pat": "SELECT * FROM pr ORDER BY support DESC, pattern_id LIMIT 40",
-    "car": "SELECT p.pattern_id, s.key, p.a, p.b, s.f AS h1, min(t.block_idx) AS h2 FROM pat p JOIN sp s ON s.a = p.a JOIN it t ON t.key = s.key AND t.a = p.b AND t.block_idx > s.f GROUP BY ALL",
-    "rev": "SELECT DISTINCT p.pattern_id, s.key FROM pat p JOIN sp s ON s.a = p.b JOIN sp t ON t.key = s.key AND t.a = p.a AND t.l > s.f",
+    "gleast": "SELECT greatest(1, ceil(0.02 * count(DISTINCT key))) AS least FROM blk",
+    "g1": "SELECT DISTINCT key, [[a]] AS pat, a AS last, block_idx AS b FROM it",
+    **_GROWN,
+    "gs": "SELECT pat, support FROM (SELECT pat, count(DISTINCT key) AS support FROM (SELECT pat, key FROM g1f UNION ALL SELECT pat, key FROM g2f UNION ALL SELECT pat, key FROM g3f UNION ALL SELECT pat, key FROM g4f) GROUP BY pat)",
+    "pat": f"SELECT {_TEXT} AS pattern_id, pat AS steps, len(pat) AS n_steps, len(flatten(pat)) AS n_tokens, support FROM gs",
+    "vb": "SELECT key, visit_idx AS block_idx, list_sort(list_distinct(list(token))) AS items FROM tok WHERE visit_idx >= 0 GROUP BY ALL",
+    "turned": "SELECT pattern_id, list_reverse(steps) AS steps FROM pat WHERE n_steps >= 2 AND len(list_distinct(flatten(steps))) >= 2",
+    **_aligned("al", "pat", "blk"),
+    **_aligned("rv", "turned", "blk"),
+    **_aligned("oc", "pat", "vb"),
+    "car": "SELECT pattern_id, key, steps, hits FROM al4",
+    "ct": "SELECT pattern_id, key, block_idx, unnest(items) AS token FROM (SELECT pattern_id, key, unnest(hits) AS block_idx, unnest(steps) AS items FROM car)",
+    "ot": "SELECT pattern_id, key, visit_idx, unnest(items) AS token FROM (SELECT pattern_id, key, unnest(hits) AS visit_idx, unnest(steps) AS items FROM oc4)",
     "tots": "SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM seq",
     "sc0": "SELECT pattern_id, count(*) AS n_present, CAST(count(*) FILTER (y = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS b FROM car JOIN seq USING (key) WHERE y IS NOT NULL GROUP BY pattern_id",
     "sc": "SELECT *, ((a + 0.5) * (n0 - b + 0.5)) / ((b + 0.5) * (n1 - a + 0.5)) AS odds_ratio, a / greatest(n1, 1) AS prev_pos, b / greatest(n0, 1) AS prev_neg, a / greatest(n1, 1) - b / greatest(n0, 1) AS prev_diff FROM sc0, tots",
     "bs": "SELECT m.key, block_idx, m.token, sum(attr) AS attr_sum FROM mk m JOIN blk USING (key, visit_idx) WHERE is_salient AND visit_idx >= 0 GROUP BY ALL",
-    "ins": "SELECT car.pattern_id, car.key, coalesce(p.attr_sum, 0) + coalesce(q.attr_sum, 0) AS score FROM car LEFT JOIN bs p ON p.key = car.key AND p.block_idx = h1 AND p.token = a LEFT JOIN bs q ON q.key = car.key AND q.block_idx = h2 AND q.token = b",
+    "ins": "SELECT ct.pattern_id, ct.key, coalesce(sum(attr_sum), 0) AS score FROM ct LEFT JOIN bs USING (key, block_idx, token) GROUP BY ALL",
     "st": "SELECT pattern_id, odds_ratio, count(*) AS n_carriers, avg(score) AS attr_mean, median(score) AS attr_median, avg(abs(score)) AS attr_abs_mean, coalesce(avg(score) FILTER (CASE WHEN odds_ratio > 1 THEN score > 0 ELSE score < 0 END), 0) AS conditional_impact, count(*) FILTER (CASE WHEN odds_ratio > 1 THEN score > 0 ELSE score < 0 END) AS n_concordant FROM ins JOIN sc USING (pattern_id) GROUP BY pattern_id, odds_ratio",
     "so": "SELECT key, y, round(1 / (1 + exp(-sum(attr))), 9) AS score FROM att GROUP BY key, y",
     "cv0": "SELECT score AS s, sum(y) AS p, sum(1 - y) AS n FROM so WHERE y IS NOT NULL GROUP BY score",
     "cv": "SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS fp, sum(p) OVER () AS pp, sum(n) OVER () AS nn FROM cv0",
     "nv": "SELECT DISTINCT key, visit_idx, token FROM tok WHERE visit_idx >= 0",
-    "o1": "SELECT p.pattern_id, p.a, p.b, n.key, min(n.visit_idx) AS v1 FROM pat p JOIN nv n ON n.token = p.a GROUP BY ALL",
-    "o2": "SELECT o.pattern_id, o.a, o.b, o.key, o.v1, min(n.visit_idx) AS v2 FROM o1 o JOIN nv n ON n.key = o.key AND n.token = o.b AND n.visit_idx > o.v1 GROUP BY ALL",
     "fa": "SELECT key, visit_idx, token, arg_min(attr, pos) AS attr FROM att GROUP BY ALL",
 }
 
@@ -153,22 +193,24 @@ RAW = {
     "scaled_attributions": "SELECT stream, round(avg(x), 6) AS mean_scaled FROM (SELECT stream, attr / (max(abs(attr)) OVER (PARTITION BY key) + 1e-12) AS x FROM att) GROUP BY stream",
     "episodes_len2": "SELECT pattern, support FROM ep WHERE support >= ceil(0.02 * (SELECT count(DISTINCT key) FROM blk))",
     "episode_pairs": "SELECT pattern, support FROM ep WHERE support >= ceil(2 * (SELECT count(DISTINCT key) FROM blk) / 100)",
+    "episodes_len4": f"SELECT {_TEXT} AS pattern, support FROM gs",
+    "pattern_pvalues": f"SELECT pattern_id, n_present, CAST(a AS BIGINT) AS n_present_pos, CAST(b AS BIGINT) AS n_present_neg, n1 AS n_total_pos, n0 AS n_total_neg, round(odds_ratio, 6) AS odds_ratio, round(ln(odds_ratio), 6) AS log_or, round(chi, 6) AS chi2, round(prev_pos, 6) AS prev_pos, round(prev_neg, 6) AS prev_neg, round(prev_diff, 6) AS prev_diff, round(p, 6) AS p, round(least(1, p * count(*) OVER ()), 6) AS p_bonferroni, least(1, p * count(*) OVER ()) < 0.05 AS significant FROM (SELECT *, {_TAIL} AS p FROM (SELECT *, {_CARRIED} AS chi FROM sc))",
     "ngram_support": "WITH ev AS (SELECT key, y, list(token ORDER BY pos) AS t FROM tok GROUP BY key, y), s AS (SELECT DISTINCT key, y, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' -> ' || t[i + 1]))) AS ngram FROM ev), n AS (SELECT y, count(*) AS n FROM ev GROUP BY y), f AS (SELECT DISTINCT ngram FROM (SELECT ngram, y, count(*) AS k FROM s WHERE y IS NOT NULL GROUP BY ngram, y) JOIN n USING (y) WHERE k >= greatest(1, ceil(0.02 * n.n))) SELECT ngram, count(*) AS n_keys FROM s JOIN f USING (ngram) GROUP BY ngram",
-    "episode_carriers": "SELECT pattern_id, key, h1 AS first_block, h2 AS last_block FROM car",
-    "pattern_scores": f"SELECT pattern_id, n_present, CAST(a AS BIGINT) AS n_present_pos, CAST(b AS BIGINT) AS n_present_neg, n1 AS n_total_pos, n0 AS n_total_neg, round(odds_ratio, 6) AS odds_ratio, round(ln(odds_ratio), 6) AS log_or, round({_CARRIED}, 6) AS chi2, round(prev_pos, 6) AS prev_pos, round(prev_neg, 6) AS prev_neg, round(prev_diff, 6) AS prev_diff, 2 AS n_steps, 2 AS n_tokens FROM sc",
+    "episode_carriers": "SELECT pattern_id, key, hits[1] AS first_block, hits[-1] AS last_block FROM car",
+    "pattern_scores": f"SELECT pattern_id, n_present, CAST(a AS BIGINT) AS n_present_pos, CAST(b AS BIGINT) AS n_present_neg, n1 AS n_total_pos, n0 AS n_total_neg, round(odds_ratio, 6) AS odds_ratio, round(ln(odds_ratio), 6) AS log_or, round({_CARRIED}, 6) AS chi2, round(prev_pos, 6) AS prev_pos, round(prev_neg, 6) AS prev_neg, round(prev_diff, 6) AS prev_diff, n_steps, n_tokens FROM sc JOIN pat USING (pattern_id)",
     "table_statistics": f"SELECT DISTINCT pattern_id, round(((a + 0.5) * (n0 - b + 0.5)) / ((b + 0.5) * (n1 - a + 0.5)), 6) AS odds_ratio, round({_GIVEN}, 6) AS chi2 FROM (SELECT pattern_id, n_present_readmit1 AS a, n_present_readmit0 AS b, n_total_readmit1 AS n1, n_total_readmit0 AS n0 FROM mined_patterns_train WHERE n_present_readmit1 IS NOT NULL)",
-    "capped_patterns": "SELECT pattern_id, 2 AS n_steps, round(o, 6) AS odds_ratio FROM (SELECT *, row_number() OVER (ORDER BY o DESC, pattern_id) AS u, row_number() OVER (ORDER BY o, pattern_id) AS d FROM (SELECT pattern_id, round(odds_ratio, 9) AS o FROM sc)) WHERE u <= 5 OR d <= 5",
-    "capped_by_prevalence": "SELECT pattern_id, round(x, 6) AS prev_diff FROM (SELECT *, row_number() OVER (PARTITION BY x > 0 ORDER BY abs(x) DESC, pattern_id) AS u FROM (SELECT pattern_id, round(prev_diff, 9) AS x FROM sc)) WHERE u <= 5",
+    "capped_patterns": "SELECT pattern_id, n_steps, round(o, 6) AS odds_ratio FROM (SELECT *, row_number() OVER (PARTITION BY n_steps ORDER BY o DESC, pattern_id) AS u, row_number() OVER (PARTITION BY n_steps ORDER BY o, pattern_id) AS d FROM (SELECT pattern_id, n_steps, round(odds_ratio, 9) AS o FROM sc JOIN pat USING (pattern_id))) WHERE u <= 5 OR d <= 5",
+    "capped_by_prevalence": "SELECT pattern_id, round(x, 6) AS prev_diff FROM (SELECT *, row_number() OVER (PARTITION BY n_steps, x > 0 ORDER BY abs(x) DESC, pattern_id) AS u FROM (SELECT pattern_id, n_steps, round(prev_diff, 9) AS x FROM sc JOIN pat USING (pattern_id))) WHERE u <= 5",
     "balanced_patterns": "SELECT pattern_id, round(x, 6) AS attr_mean, u AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sign(x) ORDER BY abs(x) DESC, pattern_id) AS u FROM (SELECT pattern_id, round(attr_mean, 9) AS x FROM st) WHERE x != 0) WHERE u <= 5",
     "odds_extremes": "SELECT pattern_id, round(o, 6) AS odds_ratio, CASE WHEN o > 1 THEN 'above' ELSE 'below' END AS side FROM (SELECT *, row_number() OVER (PARTITION BY o > 1 ORDER BY CASE WHEN o > 1 THEN -o ELSE o END, pattern_id) AS u FROM (SELECT pattern_id, round(odds_ratio, 9) AS o FROM sc) WHERE o != 1) WHERE u <= 5",
     "pooled_patterns": "WITH g AS (SELECT pattern_id, y, count(*) AS n FROM car JOIN seq USING (key) WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 3), p AS (SELECT pattern_id FROM g WHERE y = 1), q AS (SELECT pattern_id FROM g WHERE y = 0) SELECT side, n FROM (SELECT 'a' AS side, count(*) AS n FROM p WHERE pattern_id NOT IN (FROM q) UNION ALL SELECT 'b', count(*) FROM q WHERE pattern_id NOT IN (FROM p)) WHERE n > 0 UNION ALL SELECT 'pooled', count(DISTINCT pattern_id) FROM g",
     "instance_scores": "SELECT pattern_id, key, round(score, 6) AS score FROM ins",
     "pattern_stats": "SELECT pattern_id, round(odds_ratio, 6) AS odds_ratio, n_carriers, round(attr_mean, 6) AS attr_mean, round(attr_median, 6) AS attr_median, round(attr_abs_mean, 6) AS attr_abs_mean, round(conditional_impact, 6) AS conditional_impact, n_concordant FROM st",
-    "occurrence_scores": "SELECT o.pattern_id, o.key, round(p.attr + q.attr, 6) AS score, 2 AS n_matched FROM o2 o JOIN fa p ON p.key = o.key AND p.visit_idx = v1 AND p.token = a JOIN fa q ON q.key = o.key AND q.visit_idx = v2 AND q.token = b",
-    "matched_positions": "SELECT pattern_id, key, array_to_string(list_sort(list(pos)), ',') AS positions FROM (SELECT DISTINCT o.pattern_id, o.key, t.pos FROM o2 o JOIN tok t ON t.key = o.key AND ((t.visit_idx = v1 AND t.token = a) OR (t.visit_idx = v2 AND t.token = b))) GROUP BY pattern_id, key",
-    "order_contrast": "SELECT pattern_id, count(f) AS n_forward, count(r) AS n_reversed, count(f + r) AS n_both, count(f) - count(f + r) AS n_forward_only, count(r) - count(f + r) AS n_reversed_only, round(avg(score) FILTER (f = 1), 6) AS mean_forward, round(avg(score) FILTER (r = 1), 6) AS mean_reversed, round(avg(score) FILTER (f = 1 AND r IS NULL), 6) AS mean_forward_only, round(avg(score) FILTER (r = 1 AND f IS NULL), 6) AS mean_reversed_only, round(avg(score) FILTER (f = 1 AND r IS NULL) - avg(score) FILTER (r = 1 AND f IS NULL), 6) AS mean_diff FROM (SELECT coalesce(x.pattern_id, z.pattern_id) AS pattern_id, coalesce(x.key, z.key) AS key, f, r FROM (SELECT pattern_id, key, 1 AS f FROM car WHERE a != b) x FULL JOIN (SELECT rev.pattern_id, key, 1 AS r FROM rev JOIN pat USING (pattern_id) WHERE a != b) z ON x.pattern_id = z.pattern_id AND x.key = z.key) LEFT JOIN so USING (key) GROUP BY pattern_id",
-    "token_means_in_patterns": "SELECT pattern_id, token, round(avg(attr_sum), 6) AS attr_mean FROM (SELECT car.pattern_id, token, attr_sum FROM car JOIN bs ON bs.key = car.key AND ((bs.block_idx = h1 AND bs.token = a) OR (bs.block_idx = h2 AND bs.token = b))) GROUP BY ALL",
-    "explanations": "SELECT key, 'token' AS kind, rn AS rank, token AS name, round(x, 6) AS value FROM (SELECT key, token, round(attr, 9) AS x, row_number() OVER (PARTITION BY key ORDER BY abs(round(attr, 9)) DESC, pos) AS rn FROM att) WHERE rn <= 5 UNION ALL SELECT key, 'pattern', r, pattern_id, round(v, 6) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(v, 9) DESC, pattern_id) AS r FROM (SELECT car.pattern_id, car.key, (coalesce(abs(p.attr_sum), 0) + coalesce(abs(q.attr_sum), 0)) / (t.total + 1e-12) AS v FROM car JOIN (SELECT key, sum(abs(round(attr, 9))) AS total FROM att GROUP BY key) t ON t.key = car.key LEFT JOIN bs p ON p.key = car.key AND p.block_idx = h1 AND p.token = a LEFT JOIN bs q ON q.key = car.key AND q.block_idx = h2 AND q.token = b)) WHERE r <= 5",
+    "occurrence_scores": "SELECT pattern_id, key, round(sum(attr), 6) AS score, count(*) AS n_matched FROM ot JOIN fa USING (key, visit_idx, token) GROUP BY ALL",
+    "matched_positions": "SELECT pattern_id, key, array_to_string(list_sort(list(pos)), ',') AS positions FROM (SELECT DISTINCT ot.pattern_id, ot.key, tok.pos FROM ot JOIN tok USING (key, visit_idx, token)) GROUP BY pattern_id, key",
+    "order_contrast": "SELECT pattern_id, count(f) AS n_forward, count(r) AS n_reversed, count(f + r) AS n_both, count(f) - count(f + r) AS n_forward_only, count(r) - count(f + r) AS n_reversed_only, round(avg(score) FILTER (f = 1), 6) AS mean_forward, round(avg(score) FILTER (r = 1), 6) AS mean_reversed, round(avg(score) FILTER (f = 1 AND r IS NULL), 6) AS mean_forward_only, round(avg(score) FILTER (r = 1 AND f IS NULL), 6) AS mean_reversed_only, round(avg(score) FILTER (f = 1 AND r IS NULL) - avg(score) FILTER (r = 1 AND f IS NULL), 6) AS mean_diff FROM (SELECT coalesce(x.pattern_id, z.pattern_id) AS pattern_id, coalesce(x.key, z.key) AS key, f, r FROM (SELECT pattern_id, key, 1 AS f FROM car JOIN turned USING (pattern_id)) x FULL JOIN (SELECT pattern_id, key, 1 AS r FROM rv4) z ON x.pattern_id = z.pattern_id AND x.key = z.key) LEFT JOIN so USING (key) GROUP BY pattern_id",
+    "token_means_in_patterns": "SELECT pattern_id, token, round(avg(attr_sum), 6) AS attr_mean FROM ct JOIN bs USING (key, block_idx, token) GROUP BY ALL",
+    "explanations": "SELECT key, 'token' AS kind, rn AS rank, token AS name, round(x, 6) AS value FROM (SELECT key, token, round(attr, 9) AS x, row_number() OVER (PARTITION BY key ORDER BY abs(round(attr, 9)) DESC, pos) AS rn FROM att) WHERE rn <= 5 UNION ALL SELECT key, 'pattern', r, pattern_id, round(v, 6) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(v, 9) DESC, pattern_id) AS r FROM (SELECT x.pattern_id, x.key, x.mass / (t.total + 1e-12) AS v FROM (SELECT ct.pattern_id, ct.key, coalesce(sum(abs(attr_sum)), 0) AS mass FROM ct LEFT JOIN bs USING (key, block_idx, token) GROUP BY ALL) x JOIN (SELECT key, sum(abs(round(attr, 9))) AS total FROM att GROUP BY key) t ON t.key = x.key)) WHERE r <= 5",
     "carrier_similarity": "WITH s AS (SELECT pattern_id, count(*) AS n FROM car GROUP BY 1) SELECT a, b, n_a, n_b, n_both, round(n_both / (n_a + n_b - n_both), 6) AS similarity FROM (SELECT x.pattern_id AS a, y.pattern_id AS b, any_value(p.n) AS n_a, any_value(q.n) AS n_b, count(*) AS n_both FROM car x JOIN car y ON x.key = y.key AND x.pattern_id < y.pattern_id JOIN s p ON p.pattern_id = x.pattern_id JOIN s q ON q.pattern_id = y.pattern_id GROUP BY ALL) WHERE n_both / (n_a + n_b - n_both) >= 0.2",
     "auroc": "SELECT round(sum(n * (tp - p + p / 2.0)) / (max(tp) * max(fp)), 6) AS auroc FROM cv",
     "average_precision": "SELECT round(sum(p * tp / (tp + fp)) / max(tp), 6) AS average_precision FROM cv",

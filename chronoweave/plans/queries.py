@@ -49,21 +49,6 @@ def query(f):
     return run
 
 
-def dictionary_query(f):
-    """Register f over the 40 patterns that its DuckDB statement is limited to, and as all_... over every mined pattern."""
-
-    def whole(c: Context) -> DataFrame:
-        return f(c)
-
-    def fixed(c: Context) -> DataFrame:
-        return f(TopContext(c.spark, c.d))
-
-    whole.__name__, whole.__doc__ = f"all_{f.__name__}", f.__doc__
-    fixed.__name__, fixed.__doc__ = f.__name__, f.__doc__
-    query(whole)
-    return query(fixed)
-
-
 class Context:
     """The intermediate tables of one data directory, each built once per query."""
 
@@ -163,15 +148,6 @@ class Context:
         return self.index.join(people, "entity", "left").join(self.risk.select("visit", "score", "days"), "visit", "left")
 
 
-class TopContext(Context):
-    """A context whose patterns are the 40 best supported ones of two single-item steps, the dictionary of the DuckDB statements."""
-
-    @cached_property
-    def patterns(self) -> DataFrame:
-        two = Mi.pair_episodes(self.blocks, 1).where(F.size("pattern") == 2)
-        return checkpointed(Mi.pattern_table(two.orderBy(F.desc("support"), X.rendered("pattern")).limit(40)))
-
-
 # Cohort and tokens
 
 
@@ -514,12 +490,12 @@ def ngram_support(c: Context) -> DataFrame:
     return s.join(often, "ngram", "left_semi").groupBy("ngram").agg(F.count("*").alias("n_keys"))
 
 
-@dictionary_query
+@query
 def episode_carriers(c: Context) -> DataFrame:
     return c.carriers.select("pattern_id", "key", F.element_at("hits", 1).alias("first_block"), F.element_at("hits", -1).alias("last_block"))
 
 
-@dictionary_query
+@query
 def pattern_scores(c: Context) -> DataFrame:
     return c.scored
 
@@ -538,22 +514,22 @@ def table_statistics(c: Context) -> DataFrame:
     return rows.select("pattern_id", S.odds_ratio(a, b, x, y).alias("odds_ratio"), S.chi2_yates(a, b, x, y).alias("chi2")).distinct()
 
 
-@dictionary_query
+@query
 def capped_patterns(c: Context) -> DataFrame:
     return Mi.capped(c.scored.withColumn("odds_ratio", F.round("odds_ratio", 9)), 10).select("pattern_id", "n_steps", "odds_ratio")
 
 
-@dictionary_query
+@query
 def capped_by_prevalence(c: Context) -> DataFrame:
     return Mi.capped(c.scored.withColumn("prev_diff", F.round("prev_diff", 9)), 10, "prev_diff").select("pattern_id", "prev_diff")
 
 
-@dictionary_query
+@query
 def balanced_patterns(c: Context) -> DataFrame:
     return Mi.balanced_top(c.stats.withColumn("attr_mean", F.round("attr_mean", 9)), F.col("attr_mean"), 10, "pattern_id").select("pattern_id", "attr_mean", F.col("rank"))
 
 
-@dictionary_query
+@query
 def odds_extremes(c: Context) -> DataFrame:
     return Re.odds_top(c.scored.withColumn("odds_ratio", F.round("odds_ratio", 9)), 5).select("pattern_id", "odds_ratio", "side")
 
@@ -569,7 +545,7 @@ def ngrams_scored(c: Context) -> DataFrame:
     return Mi.mine_and_score(c.seq, 0.02, max_items=2, method="ngram", with_p=False).select("pattern_id", "n_present", "odds_ratio", "chi2")
 
 
-@dictionary_query
+@query
 def pooled_patterns(c: Context) -> DataFrame:
     g = c.carriers.join(c.seq.select("key", "y"), "key").join(c.patterns, "pattern_id").groupBy("pattern", "y").agg(F.count("*").alias("n")).where("n >= 3")
     pos, neg = g.where("y = 1"), g.where("y = 0")
@@ -580,38 +556,38 @@ def pooled_patterns(c: Context) -> DataFrame:
 # Matching and explanation
 
 
-@dictionary_query
+@query
 def instance_scores(c: Context) -> DataFrame:
     return c.instances
 
 
-@dictionary_query
+@query
 def pattern_stats(c: Context) -> DataFrame:
     return c.stats
 
 
-@dictionary_query
+@query
 def occurrence_scores(c: Context) -> DataFrame:
     return Ma.occurrences(c.patterns, c.attr)
 
 
-@dictionary_query
+@query
 def matched_positions(c: Context) -> DataFrame:
     m = Ma.matched_positions(c.patterns, c.tokens)
     return m.select("pattern_id", "key", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
-@dictionary_query
+@query
 def order_contrast(c: Context) -> DataFrame:
     return Ma.order_contrast(c.patterns, c.arrays, c.scores)
 
 
-@dictionary_query
+@query
 def token_means_in_patterns(c: Context) -> DataFrame:
     return Ma.token_means_in_patterns(c.carriers, c.patterns, c.block_sums)
 
 
-@dictionary_query
+@query
 def explanations(c: Context) -> DataFrame:
     return Ma.explanation(c.attr.withColumn("attr", F.round("attr", 9)), c.carriers, c.patterns, c.block_sums, 5)
 
@@ -622,7 +598,7 @@ def exemplars(c: Context) -> DataFrame:
     return Ma.exemplars(m, c.patterns, facts=c.seq)
 
 
-@dictionary_query
+@query
 def carrier_similarity(c: Context) -> DataFrame:
     return Cl.carrier_pairs(c.carriers, 0.2)
 
@@ -802,22 +778,22 @@ def entity_report(c: Context) -> DataFrame:
     return Rp.entity_tokens(c.attr.withColumn("attr", F.round("attr", 9)), 5)
 
 
-@dictionary_query
+@query
 def fallback_patterns(c: Context) -> DataFrame:
     return Rp.pseudo_scored(c.scored.withColumn("odds_ratio", F.round("odds_ratio", 9)), 10).select("pattern_id", "pseudo", "rank")
 
 
-@dictionary_query
+@query
 def conditional_report(c: Context) -> DataFrame:
     return Rp.conditional_impact(c.stats.withColumn("conditional_impact", F.round("conditional_impact", 9)), 5, 5)
 
 
-@dictionary_query
+@query
 def presence_matrix(c: Context) -> DataFrame:
     return Rp.presence(c.carriers, 10, 30)
 
 
-@dictionary_query
+@query
 def importance_panel(c: Context) -> DataFrame:
     tokens = At.token_importance(c.attr).select(F.col("token").alias("name"), F.round("attr_mean", 9).alias("value"))
     pats = c.stats.select(F.col("pattern_id").alias("name"), F.round("attr_mean", 9).alias("value"))
@@ -830,7 +806,7 @@ def rounded_ranking(c: Context) -> DataFrame:
     return Re.rounded_rank(rows, "attr_mean", "n_steps", "pattern_id").select("pattern_id", "rank")
 
 
-@dictionary_query
+@query
 def imputed_patterns(c: Context) -> DataFrame:
     right = c.stats.where(F.col("n_carriers") % 2 == 0).select("pattern_id", "conditional_impact")
     left = c.scored.select("pattern_id", "odds_ratio")

@@ -23,7 +23,7 @@ def test_patterns_are_not_cut(spark, tmp_path):
     p = Context(spark, d).patterns
     assert p.count() > 40
     assert p.where("n_steps >= 3").count() > 0 and p.where(F.exists("pattern", lambda s: F.size(s) > 1)).count() > 0
-    assert QUERIES["pattern_pvalues"](spark, d).count() == p.count() == QUERIES["all_pattern_scores"](spark, d).count()
+    assert QUERIES["pattern_pvalues"](spark, d).count() == p.count() == QUERIES["pattern_scores"](spark, d).count()
 
 
 def test_exemplars_see_all_keys_and_tiers(spark):
