@@ -34,6 +34,13 @@ def pattern_stats(instances: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def _visit_arrays(rows: DataFrame) -> DataFrame:
+    """(key, blocks): each key's token sets by visit; block k is visit k, visits without tokens are null."""
+    visits = rows.groupBy("key", "visit_idx").agg(F.collect_set("token").alias("items"))
+    v = visits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("visit_idx", "items"))).alias("v"), F.max("visit_idx").alias("last"))
+    return v.select("key", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.try_element_at("v", k)).alias("blocks"))
+
+
 def occurrences(patterns: DataFrame, attributions: DataFrame) -> DataFrame:
     """Carriers and scores over all attributed tokens, not the salient blocks: (pattern_id, key, score, n_matched).
 
@@ -42,9 +49,7 @@ def occurrences(patterns: DataFrame, attributions: DataFrame) -> DataFrame:
     below zero never match.
     """
     rows = attributions.where("visit_idx >= 0")
-    visits = rows.groupBy("key", "visit_idx").agg(F.array_sort(F.collect_set("token")).alias("items"))
-    seqs = visits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("visit_idx", "items"))).alias("v")).select("key", F.transform("v", lambda x: x["items"]).alias("blocks"), F.transform("v", lambda x: x["visit_idx"]).alias("at"))
-    found = M.carriers(patterns, seqs).join(seqs.select("key", "at"), "key").select("pattern_id", "key", F.transform("hits", lambda h: F.get("at", h)).alias("hits"))
+    found = M.carriers(patterns, _visit_arrays(rows))
     steps = patterns.select("pattern_id", F.posexplode("pattern").alias("step", "items")).select("pattern_id", "step", F.explode("items").alias("token"))
     first = rows.groupBy("key", "visit_idx", "token").agg(F.min_by("attr", "pos").alias("attr"))
     at = found.select("pattern_id", "key", F.posexplode("hits").alias("step", "visit_idx")).join(steps, ["pattern_id", "step"])
@@ -54,9 +59,7 @@ def occurrences(patterns: DataFrame, attributions: DataFrame) -> DataFrame:
 def matched_positions(patterns: DataFrame, tokens: DataFrame) -> DataFrame:
     """(pattern_id, key, positions): every position in a matched visit whose token belongs to the item set matched there."""
     rows = tokens.where("visit_idx >= 0")
-    visits = rows.groupBy("key", "visit_idx").agg(F.array_sort(F.collect_set("token")).alias("items"))
-    seqs = visits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("visit_idx", "items"))).alias("v")).select("key", F.transform("v", lambda x: x["items"]).alias("blocks"), F.transform("v", lambda x: x["visit_idx"]).alias("at"))
-    found = M.carriers(patterns, seqs).join(seqs.select("key", "at"), "key").select("pattern_id", "key", F.transform("hits", lambda h: F.get("at", h)).alias("hits"))
+    found = M.carriers(patterns, _visit_arrays(rows))
     steps = patterns.select("pattern_id", F.posexplode("pattern").alias("step", "items")).select("pattern_id", "step", F.explode("items").alias("token"))
     at = found.select("pattern_id", "key", F.posexplode("hits").alias("step", "visit_idx")).join(steps, ["pattern_id", "step"])
     return at.join(rows.select("key", "visit_idx", "token", "pos"), ["key", "visit_idx", "token"]).groupBy("pattern_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
@@ -96,10 +99,10 @@ def order_contrast(patterns: DataFrame, sequences: DataFrame, scores: DataFrame)
     the groups' mean scores, and mean_diff (forward only minus reversed only).
     """
     p = patterns.where((F.col("n_steps") >= 2) & (F.size(F.array_distinct(F.flatten("pattern"))) >= 2))
-    back = p.select("pattern_id", F.reverse("pattern").alias("pattern"))
-    f = M.carriers(p, sequences).select("pattern_id", "key", F.lit(1).alias("f"))
-    r = M.carriers(back, sequences).select("pattern_id", "key", F.lit(1).alias("r"))
-    rows = f.join(r, ["pattern_id", "key"], "full").join(scores.select("key", "score"), "key", "left")
+    both = p.select(F.concat(F.lit("f"), "pattern_id").alias("pattern_id"), "pattern").unionByName(p.select(F.concat(F.lit("r"), "pattern_id").alias("pattern_id"), F.reverse("pattern").alias("pattern")))
+    found = M.carriers(both, sequences).select(F.left("pattern_id", F.lit(1)).alias("way"), F.expr("substring(pattern_id, 2)").alias("pattern_id"), "key")
+    seen = found.groupBy("pattern_id", "key").agg(F.max(F.when(F.col("way") == "f", 1)).alias("f"), F.max(F.when(F.col("way") == "r", 1)).alias("r"))
+    rows = seen.join(scores.select("key", "score"), "key", "left")
     fw, rv = F.col("f").isNotNull(), F.col("r").isNotNull()
     mean = lambda c: F.avg(F.when(c, F.col("score")))
     return rows.groupBy("pattern_id").agg(

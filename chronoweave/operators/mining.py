@@ -6,6 +6,10 @@ carriers(pattern_id, key) is the normalised edge table everything else uses.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -56,24 +60,80 @@ def pattern_table(patterns: DataFrame) -> DataFrame:
     return p.select(X.rendered("pattern").alias("pattern_id"), "pattern", F.size(F.flatten("pattern")).alias("n_tokens"), F.size("pattern").alias("n_steps"))
 
 
-def carriers(patterns: DataFrame, sequences: DataFrame) -> DataFrame:
+def _tree(patterns: list[tuple[str, list[list[str]]]]) -> list:
+    """Patterns as a tree over their steps. A node is [ids that end here, {first item of a step: [(its other items, node), ...]}]."""
+    root: list = [[], {}]
+    for name, steps in patterns:
+        node = root
+        for items in steps:
+            head, *rest = sorted(set(items))
+            children = node[1].setdefault(head, [])
+            found = next((c for r, c in children if r == rest), None)
+            if found is None:
+                children.append((rest, found := [[], {}]))
+            node = found
+        if node is not root:
+            node[0].append(name)
+    return root
+
+
+def _matches(root: list, blocks: list[list[str] | None]) -> Iterator[tuple[str, list[int]]]:
+    """(pattern, blocks of its leftmost match) of all patterns in one sequence, each step in a block of its own, in order."""
+    sets = [set(b or ()) for b in blocks]
+    where: dict[str, list[int]] = {}
+    for k, b in enumerate(sets):
+        for x in b:
+            where.setdefault(x, []).append(k)
+    todo: list[tuple[list, list[int]]] = [(root, [])]
+    while todo:
+        (names, children), hits = todo.pop()
+        for n in names:
+            yield n, hits
+        last = hits[-1] if hits else -1
+        for head in children.keys() & where.keys():
+            at = where[head]
+            after = bisect_right(at, last)
+            if after == len(at):
+                continue
+            for rest, child in children[head]:
+                hit = at[after] if not rest else next((k for k in at[after:] if sets[k].issuperset(rest)), None)
+                if hit is not None:
+                    todo.append((child, [*hits, hit]))
+
+
+def _matcher(shared, n_rows: int = 256):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = _tree(shared.value)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, n_rows):
+                b = whole.slice(lo, n_rows)
+                found = [(p, k, hits) for k, (blocks) in enumerate(b.column("blocks").to_pylist()) for p, hits in _matches(root, blocks or [])]
+                keys = b.column("key").take(pa.array([k for _, k, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found], pa.string()), keys, pa.array([h for _, _, h in found], pa.list_(pa.int32()))], names=["pattern_id", "key", "hits"])
+
+    return match
+
+
+def carriers(patterns: DataFrame, sequences: DataFrame, tree_size: int = 100_000) -> DataFrame:
     """(pattern_id, key, hits): which sequences contain which patterns, with the matched blocks of the leftmost match.
 
-    Containment join without a nested loop: an inverted index of (token, key)
-    meets the patterns' tokens in an equi-join, keys that hold all of a pattern's
-    tokens are the candidates, and the ordered match is verified on the arrays.
-    To keep hot tokens from making every key a candidate, only each pattern's
-    rarest token is joined through the index; the others are checked on the
-    array. A pattern without tokens matches nothing.
+    Containment join in one pass over the sequences: the patterns go out as a
+    broadcast tree over their steps, which every sequence walks as far as it
+    matches, so patterns that start alike are matched together and nothing is
+    shuffled. A tree holds about `tree_size` patterns; more take further passes.
+    A pattern without tokens matches nothing, as does a null or empty sequence;
+    keys must not be null.
     """
-    rows = sequences.select("key", "blocks", F.array_distinct(F.flatten("blocks")).alias("has"))
-    index = rows.select("key", F.explode("has").alias("token"))
-    df = index.groupBy("token").agg(F.count("*").alias("df"))
-    each = patterns.select("pattern_id", "pattern", F.array_distinct(F.flatten("pattern")).alias("needs"))
-    rarest = each.select("pattern_id", F.explode("needs").alias("token")).join(df, "token").groupBy("pattern_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    probes = each.join(rarest, "pattern_id")
-    cands = index.join(probes, "token").join(rows, "key").where(F.size(F.array_except("needs", "has")) == 0)
-    return cands.select("pattern_id", "key", A.alignment(F.col("pattern"), F.col("blocks")).alias("hits")).where("hits is not null")
+    spark = sequences.sparkSession
+    named = patterns.select("pattern_id", "pattern").where("pattern is not null and size(flatten(pattern)) > 0 and not exists(pattern, s -> size(s) = 0)")
+    rows = sequences.select(F.col("key").cast("string").alias("key"), "blocks")
+    out = spark.createDataFrame([], "pattern_id string, key string, hits array<int>")
+    parts = -(-named.count() // tree_size)
+    for k in range(parts):
+        shared = spark.sparkContext.broadcast([(r.pattern_id, r.pattern) for r in named.where(F.pmod(F.xxhash64("pattern_id"), F.lit(parts)) == k).collect()])
+        part = rows.mapInArrow(_matcher(shared), "pattern_id string, key string, hits array<int>")
+        out = part if k == 0 else out.unionByName(part)
+    return out
 
 
 def pair_episodes(blocks: DataFrame, min_support: int) -> DataFrame:

@@ -115,11 +115,13 @@ class Encoder:
     def logits(self, ids: np.ndarray) -> np.ndarray:
         return self._slope(self.embed(ids), ids == PAD, False)[0]
 
-    def _slope(self, emb: np.ndarray, pad: np.ndarray, back: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    def _slope(self, emb: np.ndarray, pad: np.ndarray, back: bool = True, weigh: Callable[[np.ndarray], np.ndarray] | None = None, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Logits [B] and their gradients by the embeddings [B, L, D].
 
         Only the first position's output is scored, so the last layer computes
         that row alone and needs no attention of every position to every other.
+        With `weigh`, logits to the derivative of a loss by each, the gradients are
+        the loss's; `grads` is filled with those by the weights, all but `tok`.
         """
         w, (n, length, dim), d = self.w, emb.shape, emb.shape[2] // self.heads
         split = lambda t: t.reshape(n, -1, self.heads, d).transpose(0, 2, 1, 3)
@@ -145,21 +147,64 @@ class Encoder:
         out = (np.maximum(h, 0) @ w["head_w1"] + w["head_b1"])[:, 0]
         if not back:
             return out, None
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+
+        def linear(name: str, i: int, before: np.ndarray, dy: np.ndarray) -> None:
+            if grads is not None:
+                grads[f"{name}_w{i}"], grads[f"{name}_b{i}"] = flat(before).T @ flat(dy), flat(dy).sum(0)
+
+        def scale(name: str, i: int | str, before: np.ndarray, dy: np.ndarray) -> None:
+            if grads is not None:
+                one = np.ones(dim)
+                grads[f"{name}_g{i}"], grads[f"{name}_b{i}"] = flat(dy * _norm(before, one, 0 * one)).sum(0), flat(dy).sum(0)
+
         g = np.zeros_like(x)
-        g[:, 0] = ((h > 0) * w["head_w1"][:, 0]) @ w["head_w0"].T
+        dl = np.ones((n, 1)) if weigh is None else weigh(out)[:, None]
+        dh = dl * (h > 0) * w["head_w1"][:, 0]
+        linear("head", 1, np.maximum(h, 0), dl)
+        linear("head", 0, x[:, 0], dh)
+        g[:, 0] = dh @ w["head_w0"].T
         for i in reversed(range(self.layers)):
             rows, x, q, k, v, a, mid, up = kept[i]
-            g = g + _norm_back(mid, w[f"n2_g{i}"], ((g @ w[f"down_w{i}"].T) * (up > 0)) @ w[f"up_w{i}"].T)
+            gu = (g @ w[f"down_w{i}"].T) * (up > 0)
+            gm = gu @ w[f"up_w{i}"].T
+            if grads is not None:
+                linear("down", i, np.maximum(up, 0), g)
+                linear("up", i, _norm(mid, w[f"n2_g{i}"], w[f"n2_b{i}"]), gu)
+                scale("n2", i, mid, gm)
+            g = g + _norm_back(mid, w[f"n2_g{i}"], gm)
             o = split(g @ w[f"out_w{i}"].T)
             ga = o @ v.transpose(0, 1, 3, 2)
             gs = a * (ga - (ga * a).sum(-1, keepdims=True)) / np.sqrt(d)
             wq, wk, wv = np.split(w[f"qkv_w{i}"], 3, axis=1)
-            gh = join(gs.transpose(0, 1, 3, 2) @ q) @ wk.T + join(a.transpose(0, 1, 3, 2) @ o) @ wv.T
-            gh[:, rows] += join(gs @ k) @ wq.T
+            gq, gk, gv = join(gs @ k), join(gs.transpose(0, 1, 3, 2) @ q), join(a.transpose(0, 1, 3, 2) @ o)
+            gh = gk @ wk.T + gv @ wv.T
+            gh[:, rows] += gq @ wq.T
+            if grads is not None:
+                linear("out", i, join(a @ v), g)
+                h = _norm(x, w[f"n1_g{i}"], w[f"n1_b{i}"])
+                grads[f"qkv_w{i}"] = np.hstack([flat(h[:, rows]).T @ flat(gq), flat(h).T @ flat(gk), flat(h).T @ flat(gv)])
+                grads[f"qkv_b{i}"] = np.concatenate([flat(t).sum(0) for t in (gq, gk, gv)])
+                scale("n1", i, x, gh)
             gx = _norm_back(x, w[f"n1_g{i}"], gh)
             gx[:, rows] += g
             g = gx
-        return out, _norm_back(start, w["emb_g"], g)
+        scale("emb", "", start, g)
+        g = _norm_back(start, w["emb_g"], g)
+        if grads is not None:
+            grads["pos"] = np.zeros_like(w["pos"])
+            grads["pos"][:length] = g.sum(0)
+        return out, g
+
+    def loss(self, ids: np.ndarray, y: np.ndarray, positive: float = 1.0) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean weighted cross-entropy of labels y, positives counting `positive` times, and its gradients by all weights."""
+        wt = np.where(y > 0, positive, 1.0)
+        grads: dict[str, np.ndarray] = {}
+        out, g = self._slope(self.embed(ids), ids == PAD, True, lambda f: wt * (1 / (1 + np.exp(-f)) - y) / len(y), grads)
+        grads["tok"] = np.zeros_like(self.w["tok"])
+        np.add.at(grads["tok"], ids.ravel(), g.reshape(-1, g.shape[-1]))
+        grads["tok"][PAD] = 0
+        return float((wt * np.logaddexp(0, np.where(y > 0, -out, out))).mean()), grads
 
     def integrated(self, ids: np.ndarray, steps: int = 16, baseline: np.ndarray | None = None) -> np.ndarray:
         """Attribution of each position: the path integral from the padding embedding (or a baseline; a stack of them gives the mean), positions kept."""
@@ -198,6 +243,85 @@ class Encoder:
         return self.integrated(ids, 2, self.embed(base))
 
 
+class AdamW:
+    """Adam with decoupled weight decay, in place on a dictionary of weights."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float, decay: float, b1: float = 0.9, b2: float = 0.999):
+        self.w, self.rate, self.decay, self.b1, self.b2, self.t = weights, rate, decay, b1, b2, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        for k, g in grads.items():
+            self.m[k] = self.b1 * self.m[k] + (1 - self.b1) * g
+            self.v[k] = self.b2 * self.v[k] + (1 - self.b2) * g * g
+            m, v = self.m[k] / (1 - self.b1**self.t), self.v[k] / (1 - self.b2**self.t)
+            self.w[k] -= self.rate * (m / (np.sqrt(v) + 1e-8) + self.decay * self.w[k])
+
+
+def train_encoder(train: DataFrame, validation: DataFrame, start: Encoder, epochs: int = 50, rate: float = 1e-3, decay: float = 0.01, patience: int = 5, batch: int = 64, workers: int = 64, seed: int = 0) -> tuple[Encoder, list[dict]]:
+    """The encoder of the best epoch by validation AUROC, and the history (epoch, train_loss, val_auroc, val_average_precision).
+
+    train, validation: (key, input_ids, y). In every epoch each of at most
+    `workers` tasks goes through its rows in hash order by batches of `batch`, with
+    AdamW on its own copy of the weights; the copies are averaged by rows. So an
+    epoch is one job over the whole data, and what reaches the driver is `workers`
+    times the size of the weights. Positives count as negatives per positive.
+    Training stops after `patience` epochs without a better AUROC.
+    Rows without label or ids are left out; without training rows the start is
+    returned with no history.
+    """
+    from chronoweave.common import checkpointed
+    from chronoweave.operators import metrics as Me
+
+    sc = train.sparkSession.sparkContext
+    known = lambda df: df.where("y is not null and size(input_ids) > 0").select("key", "input_ids", "y")
+    rows = checkpointed(known(train).repartition(max(1, min(workers, sc.defaultParallelism)), "key"))
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("int")), F.lit(0))).first()
+    if not n:
+        return start, []
+    positive = (n - pos) / max(pos, 1)
+    held = checkpointed(known(validation))
+    weights = {k: x.copy() for k, x in start.w.items()}
+    best, best_auroc, waited, history = start, 0.0, 0, []
+    for epoch in range(1, epochs + 1):
+        shared = sc.broadcast(Encoder(weights, start.heads))
+
+        def fit(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            mine = Encoder({k: x.copy() for k, x in shared.value.w.items()}, shared.value.heads)
+            adam = AdamW(mine.w, rate, decay)
+            seen, total = 0, 0.0
+            for pdf in pdfs:
+                pdf = pdf.sample(frac=1.0, random_state=seed + epoch)
+                for i in range(0, len(pdf), batch):
+                    part = pdf.iloc[i : i + batch]
+                    loss, grads = mine.loss(_padded(list(part["input_ids"])), part["y"].to_numpy(float), positive)
+                    adam.step(grads)
+                    seen, total = seen + len(part), total + loss * len(part)
+            if seen:
+                yield pd.DataFrame({"n": [seen], "loss": [total], "w": [np.concatenate([mine.w[k].ravel() for k in sorted(mine.w)]).tobytes()]})
+
+        got = rows.mapInPandas(fit, "n bigint, loss double, w binary").collect()
+        shared.destroy()
+        mean = sum(np.frombuffer(r.w) * (r.n / n) for r in got)
+        at, weights = 0, {}
+        for k in sorted(start.w):
+            shape = start.w[k].shape
+            weights[k] = mean[at : at + start.w[k].size].reshape(shape).copy()
+            at += start.w[k].size
+        model = Encoder(weights, start.heads)
+        scores = checkpointed(predicted(held, model).join(held.select("key", "y"), "key"))
+        auroc, ap = Me.auroc(scores, F.col("score"), F.col("y")).first()[0], Me.average_precision(scores, F.col("score"), F.col("y")).first()[0]
+        history.append({"epoch": epoch, "train_loss": sum(r.loss for r in got) / n, "val_auroc": auroc, "val_average_precision": ap})
+        if auroc is not None and auroc > best_auroc:
+            best, best_auroc, waited = Encoder({k: x.copy() for k, x in weights.items()}, start.heads), auroc, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    return (best if best_auroc else Encoder(weights, start.heads)), history
+
+
 def _padded(lists: list, least: int = 1) -> np.ndarray:
     n = max([least, *(len(x) for x in lists)])
     out = np.zeros((len(lists), n), np.int64)

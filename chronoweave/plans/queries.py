@@ -661,15 +661,25 @@ def perturbation_validation(c: Context) -> DataFrame:
     return Pe.validate(c.patterns, c.tokens, Pe.linear_scorer(c.weights))
 
 
+def _held_out(c: Context, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (with entity) of the train and of the test split, by entity."""
+    split = checkpointed(Co.entity_split(rows, "entity"))
+    return split.where("split = 'train'"), split.where("split = 'test'")
+
+
+def _ranking(scored: DataFrame, model: str, label: str = "label") -> DataFrame:
+    s = checkpointed(scored)
+    return Me.auroc(s, F.col("score"), F.col(label)).join(Me.average_precision(s, F.col("score"), F.col(label))).withColumn("model", F.lit(model))
+
+
 @query
 def risk_models(c: Context) -> DataFrame:
-    """In-sample ranking of the plain score and of logistic models on the total and on the components."""
-    rows = checkpointed(c.labelled.select("visit", "label").join(c.risk, "visit").select("label", *[F.col(x).cast("double").alias(x) for x in ("score", "l", "a", "c", "e")]))
-    out = Me.auroc(rows, F.col("score"), F.col("label")).withColumn("model", F.lit("plain"))
-    for name, cols in (("total", ["score"]), ("components", ["l", "a", "c", "e"])):
-        m = Mo.train_columns(rows, cols, "label")
-        s = Mo.with_score(m, rows)
-        out = out.unionByName(Me.auroc(s, F.col("score"), F.col("label")).withColumn("model", F.lit(name)))
+    """Ranking of the test split by the plain score and by logistic models on the total and on the components, fitted on the train split."""
+    cols = ("score", "l", "a", "c", "e")
+    train, test = _held_out(c, c.labelled.select("entity", "visit", "label").join(c.risk.drop("entity"), "visit").select("entity", "label", *[F.col(x).cast("double").alias(x) for x in cols]))
+    out = _ranking(test, "plain")
+    for name, own in (("total", ["score"]), ("components", ["l", "a", "c", "e"])):
+        out = out.unionByName(_ranking(Mo.with_score(Mo.train_columns(train, own, "label"), test), name))
     return out
 
 
@@ -715,16 +725,22 @@ def attention_flow(c: Context) -> DataFrame:
 
 @query
 def extended_models(c: Context) -> DataFrame:
-    """Ranking in the sample by a linear and a boosted model over seven features: score parts, age, visits and stay."""
+    """Ranking of the test split by a linear and a boosted model over seven features (score parts, age, visits, stay), fitted on the train split."""
     cols = ["l", "a", "c", "e", "age", "n_visits", "days"]
-    people = c.cohort.select("visit", "label", "age", "n_visits")
-    rows = checkpointed(people.join(c.risk.select("visit", "l", "a", "c", "e", "days"), "visit").select("label", *[F.col(x).cast("double").alias(x) for x in cols]).dropna())
-    out = None
-    for kind in ("linear", "boosted"):
-        s = Mo.with_score(Mo.train_columns(rows, cols, "label", kind, trees=10), rows)
-        x = Me.auroc(s, F.col("score"), F.col("label")).join(Me.average_precision(s, F.col("score"), F.col("label"))).withColumn("model", F.lit(kind))
-        out = x if out is None else out.unionByName(x)
-    return out
+    people = c.cohort.select("entity", "visit", "label", "age", "n_visits")
+    train, test = _held_out(c, people.join(c.risk.select("visit", "l", "a", "c", "e", "days"), "visit").select("entity", "label", *[F.col(x).cast("double").alias(x) for x in cols]).dropna())
+    linear, boosted = (_ranking(Mo.with_score(Mo.train_columns(train, cols, "label", kind), test), kind) for kind in ("linear", "boosted"))
+    return linear.unionByName(boosted)
+
+
+@query
+def encoder_training(c: Context) -> DataFrame:
+    """History of an encoder trained on the train split and judged on the validation split."""
+    e, start = _encoded(c)
+    rows = e.join(c.seq.select("key", "y"), "key").withColumn("entity", F.split_part("key", F.lit("|"), F.lit(1)))
+    split = checkpointed(Co.entity_split(rows, "entity"))
+    _, history = Mo.train_encoder(split.where("split = 'train'"), split.where("split = 'val'"), start, epochs=3)
+    return c.spark.createDataFrame([(h["epoch"], h["train_loss"], h["val_auroc"], h["val_average_precision"]) for h in history], "epoch int, train_loss double, val_auroc double, val_average_precision double")
 
 
 @query
@@ -734,16 +750,31 @@ def path_attributions(c: Context) -> DataFrame:
     return Mo.path_attributions(e, m, 3).groupBy("key").agg(F.count("*").alias("n"), F.sum("attr").alias("attr_sum"))
 
 
-@query
-def kernel_attributions(c: Context) -> DataFrame:
+def kernel_values(c: Context, e: DataFrame, m: Mo.Encoder) -> DataFrame:
     """Masked-subset attributions of each sequence's 15 clinical tokens of largest absolute path attribution."""
-    e, m = _encoded(c)
     specials = c.spark.createDataFrame([(i,) for i in range(len(X.SPECIALS))], "id int")
     events = e.select("key", F.posexplode("input_ids").alias("pos", "id")).join(F.broadcast(specials), "id", "left_anti").select("key", "pos")
     top = At.largest(checkpointed(Mo.path_attributions(e, m)).join(events, ["key", "pos"]), 15)
     return Mo.kernel_attributions(e, top.select("key", "pos"), m)
 
 
+@query
+def kernel_attributions(c: Context) -> DataFrame:
+    return kernel_values(c, *_encoded(c))
+
+
+@query
+def attribution_comparison(c: Context) -> DataFrame:
+    """Per token: how often it occurs, and its mean path and mean kernel attribution side by side, with the ranks by size."""
+    e, m = _encoded(c)
+    e = checkpointed(e)
+    tokens = e.select("key", F.posexplode("input_ids").alias("pos", "id"))
+    per = lambda df, col, name: df.join(tokens, ["key", "pos"]).groupBy("id").agg(F.avg(col).alias(name), F.count("*").alias(f"n_{name}"))
+    both = per(Mo.path_attributions(e, m), "attr", "path").join(per(kernel_values(c, e, m), "value", "kernel"), "id")
+    names = Co.vocabulary(c.tokens).select("id", "token")
+    return both.join(names, "id").select("token", F.col("n_path").alias("n_present"), "path", "kernel", (F.signum("path") == F.signum("kernel")).alias("same_sign"))
+
+
 @query
 def token_gradients(c: Context) -> DataFrame:
     e, m = _encoded(c)

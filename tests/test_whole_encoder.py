@@ -26,6 +26,52 @@ def test_slope_is_the_gradient():
         assert abs((e.run(up, pad)[0] - e.run(down, pad)[0])[at[0]] / 2e-5 - g[at]) < 1e-5
 
 
+def test_loss_gradients_by_all_weights():
+    e = Mo.Encoder.random(12, 8, 2, 2, max_len=6)
+    ids, y = np.array([[1, 5, 7, 9, 3], [1, 4, 0, 0, 0], [1, 6, 6, 2, 0]]), np.array([1.0, 0.0, 1.0])
+    loss, grads = e.loss(ids, y, 2.5)
+    assert set(grads) == set(e.w)
+    r = np.random.default_rng(1)
+    for k, w in e.w.items():
+        for _ in range(6):
+            at = tuple(r.integers(0, d) for d in w.shape)
+            if k == "tok" and at[0] == Mo.PAD:
+                continue
+            old = w[at]
+            w[at] = old + 1e-5
+            up = e.loss(ids, y, 2.5)[0]
+            w[at] = old - 1e-5
+            down = e.loss(ids, y, 2.5)[0]
+            w[at] = old
+            assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-5, k
+
+
+def test_slope_at_full_length():
+    e = Mo.Encoder.random(40, 16, 2, 2)
+    r = np.random.default_rng(2)
+    ids = r.integers(1, 40, (1, 512))
+    x, pad = e.embed(ids), ids == 0
+    g = e._slope(x, pad)[1]
+    for p, d in zip(r.integers(0, 512, 12), r.integers(0, 16, 12)):
+        up, down = x.copy(), x.copy()
+        up[0, p, d] += 1e-4
+        down[0, p, d] -= 1e-4
+        assert abs((e.run(up, pad)[0] - e.run(down, pad)[0])[0] / 2e-4 - g[0, p, d]) < 1e-6
+
+
+def test_training_learns_and_stops(spark):
+    r = np.random.default_rng(4)
+    # Positive if token 5 is there.
+    data = [(str(i), [1, *(int(x) for x in r.integers(6, 30, 8)), *([5] if i % 3 == 0 else [])], int(i % 3 == 0)) for i in range(400)] + [("x", None, 1), ("z", [1, 5], None)]
+    df = spark.createDataFrame(data, "key string, input_ids array<int>, y int")
+    start = Mo.Encoder.random(30, 16, 2, 1, max_len=12)
+    model, history = Mo.train_encoder(df.where("key < '5'"), df.where("key >= '5'"), start, epochs=12, rate=5e-3, patience=2)
+    assert history[-1]["train_loss"] < history[0]["train_loss"] and max(h["val_auroc"] for h in history) > 0.95
+    s = {x.key: x.score for x in Mo.predicted(df, model).collect()}
+    assert s["z"] > 0.5 and s["x"] is None
+    assert Mo.train_encoder(df.limit(0), df, start)[1] == []
+
+
 def test_whole_sequences_are_encoded(spark, tmp_path):
     d = sequences(spark, tmp_path, (70, 100, 600))
     got = {r.key: r.n for r in QUERIES["path_attributions"](spark, d).collect()}
