@@ -108,6 +108,10 @@ PARTS = {
     "bs": "SELECT m.key, block_idx, m.token, sum(attr) AS attr_sum FROM mk m JOIN blk USING (key, visit_idx) WHERE is_salient AND visit_idx >= 0 GROUP BY ALL",
     "ins": "SELECT ct.pattern_id, ct.key, coalesce(sum(attr_sum), 0) AS score FROM ct LEFT JOIN bs USING (key, block_idx, token) GROUP BY ALL",
     "st": "SELECT pattern_id, odds_ratio, count(*) AS n_carriers, avg(score) AS attr_mean, median(score) AS attr_median, avg(abs(score)) AS attr_abs_mean, coalesce(avg(score) FILTER (CASE WHEN odds_ratio > 1 THEN score > 0 ELSE score < 0 END), 0) AS conditional_impact, count(*) FILTER (CASE WHEN odds_ratio > 1 THEN score > 0 ELSE score < 0 END) AS n_concordant FROM ins JOIN sc USING (pattern_id) GROUP BY pattern_id, odds_ratio",
+    "sim": "SELECT a, b FROM (SELECT x.pattern_id AS a, y.pattern_id AS b, any_value(p.n) AS n_a, any_value(q.n) AS n_b, count(*) AS n_both FROM car x JOIN car y ON x.key = y.key AND x.pattern_id < y.pattern_id JOIN (SELECT pattern_id, count(*) AS n FROM car GROUP BY 1) p ON p.pattern_id = x.pattern_id JOIN (SELECT pattern_id, count(*) AS n FROM car GROUP BY 1) q ON q.pattern_id = y.pattern_id GROUP BY ALL) WHERE n_both / (n_a + n_b - n_both) >= 0.2",
+    "rk": "SELECT pattern_id, row_number() OVER (ORDER BY abs(round(attr_mean, 9)) DESC, pattern_id) AS r FROM st",
+    "near": "SELECT r, list(o) AS near FROM (SELECT greatest(x.r, y.r) AS r, least(x.r, y.r) AS o FROM sim JOIN rk x ON x.pattern_id = a JOIN rk y ON y.pattern_id = b) GROUP BY r",
+    "led": "SELECT p.pattern_id, o.pattern_id AS leader FROM (SELECT r, CASE WHEN list_contains(leaders, r) THEN r ELSE list_min(list_intersect(leaders, near)) END AS l FROM rk LEFT JOIN near USING (r), (WITH RECURSIVE one AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS leaders UNION ALL SELECT one.r + 1, CASE WHEN coalesce(list_has_any(leaders, near), false) THEN leaders ELSE list_append(leaders, one.r + 1) END FROM one LEFT JOIN near ON near.r = one.r + 1 WHERE one.r < (SELECT max(r) FROM rk)) SELECT leaders FROM one ORDER BY r DESC LIMIT 1)) a JOIN rk p ON p.r = a.r JOIN rk o ON o.r = a.l",
     "so": "SELECT key, y, round(1 / (1 + exp(-sum(attr))), 9) AS score FROM att GROUP BY key, y",
     "cv0": "SELECT score AS s, sum(y) AS p, sum(1 - y) AS n FROM so WHERE y IS NOT NULL GROUP BY score",
     "cv": "SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS fp, sum(p) OVER () AS pp, sum(n) OVER () AS nn FROM cv0",
@@ -224,6 +228,14 @@ RAW = {
     "importance_panel": "SELECT kind, name, round(value, 6) AS value, row_number() OVER (ORDER BY abs(value) DESC, kind, name) AS rank FROM (SELECT 'token' AS kind, token AS name, round(avg(s), 9) AS value FROM (SELECT token, split_part(key, '|', 1) AS e, sum(attr) AS s FROM att GROUP BY ALL) GROUP BY token HAVING count(*) >= 10 UNION ALL SELECT 'pattern', pattern_id, round(attr_mean, 9) FROM st) ORDER BY abs(value) DESC, kind, name LIMIT 20",
     "imputed_patterns": "WITH r AS (SELECT sc.pattern_id, sc.odds_ratio > 1 AS g, CASE WHEN n_carriers % 2 = 0 THEN conditional_impact END AS x FROM sc JOIN st USING (pattern_id)) SELECT pattern_id, round(coalesce(x, median(x) OVER (PARTITION BY g), 0), 6) AS conditional_impact FROM r",
     "union_of_tops": "SELECT key, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x)))[1:6], ',') AS tokens FROM (SELECT key, list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(list(token ORDER BY ra) FILTER (ra <= 4), lambda x: [x])), lambda u, x: CASE WHEN list_contains(u, x[1]) THEN u ELSE list_concat(u, x) END) AS a, list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(list(token ORDER BY rb) FILTER (rb <= 4), lambda x: [x])), lambda u, x: CASE WHEN list_contains(u, x[1]) THEN u ELSE list_concat(u, x) END) AS b FROM (SELECT key, token, row_number() OVER (PARTITION BY key ORDER BY round(attr, 9) DESC, pos) AS ra, row_number() OVER (PARTITION BY key ORDER BY abs(round(attr, 9)) DESC, pos) AS rb FROM att) GROUP BY key)",
+    "encoded_sequences": "WITH voc AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 2 AS INT) AS id FROM (SELECT token, count(*) AS n FROM tok GROUP BY token HAVING count(*) >= 2) UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[CLS]', 1), ('[VISIT]', 2))) SELECT key AS entity, array_to_string(list(CAST(id AS VARCHAR) ORDER BY pos), ' ') AS ids FROM tok1 JOIN voc USING (token) GROUP BY key",
+    "flat_sequences": "WITH q AS (SELECT key, token, pos FROM tok), lim AS (SELECT ceil(0.1 * count(*)) AS least FROM seq), e1 AS (SELECT key, token AS pattern, min(pos) AS e FROM q GROUP BY ALL), f1 AS (SELECT pattern FROM e1 GROUP BY 1 HAVING count(*) >= (SELECT least FROM lim)), e2 AS (SELECT x.key, x.pattern || ' -> ' || q.token AS pattern, min(q.pos) AS e FROM (SELECT * FROM e1 JOIN f1 USING (pattern)) x JOIN q ON q.key = x.key AND q.pos > x.e GROUP BY ALL), f2 AS (SELECT pattern, count(*) AS support FROM e2 GROUP BY 1 HAVING count(*) >= (SELECT least FROM lim)), e3 AS (SELECT x.key, x.pattern || ' -> ' || q.token AS pattern FROM (SELECT e2.* FROM e2 JOIN f2 USING (pattern)) x JOIN q ON q.key = x.key AND q.pos > x.e GROUP BY ALL), f3 AS (SELECT pattern, count(*) AS support FROM e3 GROUP BY 1 HAVING count(*) >= (SELECT least FROM lim)) SELECT * FROM f2 UNION ALL SELECT * FROM f3",
+    "ngrams_scored": f"WITH ev AS (SELECT key, y, list(token ORDER BY pos) AS t FROM tok WHERE y IS NOT NULL GROUP BY key, y), s AS (SELECT DISTINCT key, y, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' -> ' || t[i + 1]))) AS ngram FROM ev), n AS (SELECT y, count(*) AS n FROM ev GROUP BY y), f AS (SELECT DISTINCT ngram FROM (SELECT ngram, y, count(*) AS k FROM s GROUP BY ngram, y) JOIN n USING (y) WHERE k >= greatest(1, ceil(0.02 * n.n))), z AS (SELECT ngram AS pattern_id, count(*) AS n_present, CAST(count(*) FILTER (y = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS b FROM s JOIN f USING (ngram) GROUP BY ngram) SELECT pattern_id, n_present, round(((a + 0.5) * (n0 - b + 0.5)) / ((b + 0.5) * (n1 - a + 0.5)), 6) AS odds_ratio, round({_CARRIED}, 6) AS chi2 FROM z, tots WHERE n_present >= greatest(1, ceil(0.02 * (n1 + n0)))",
+    "characteristics": "WITH l AS (SELECT key, count(*) AS f, count(*) FILTER (is_salient) AS k FROM mk GROUP BY key), m AS (SELECT avg(f) AS a, stddev_samp(f) AS b, avg(k) AS c, stddev_samp(k) AS d FROM l), s AS (SELECT count(*) AS n, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q, avg(n_visits) AS v, stddev_samp(n_visits) AS w FROM seq) SELECT unnest(['entities', 'positive', 'negative', 'visits', 'length', 'salient length', 'salient share']) AS name, unnest([CAST(n AS VARCHAR), CAST(p AS VARCHAR), CAST(q AS VARCHAR), printf('%.1f (%.1f)', v, w), printf('%.1f (%.1f)', a, b), printf('%.1f (%.1f)', c, d), printf('%.1f%%', 100 * c / a)]) AS value FROM s, m",
+    "session_episodes": "WITH z AS (SELECT user_id AS u, event_type AS a, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)), i AS (SELECT DISTINCT u, k, a FROM z WHERE a IS NOT NULL), e AS (SELECT a AS pattern, count(DISTINCT u) AS support FROM i GROUP BY a UNION ALL SELECT x.a || ' -> ' || y.a, count(DISTINCT x.u) FROM i x JOIN i y ON x.u = y.u AND x.k < y.k GROUP BY 1 UNION ALL SELECT '{' || x.a || ', ' || y.a || '}', count(DISTINCT x.u) FROM i x JOIN i y ON x.u = y.u AND x.k = y.k AND x.a < y.a GROUP BY 1) SELECT pattern, support FROM e WHERE support >= ceil(0.5 * (SELECT count(DISTINCT u) FROM z))",
+    "rounded_ranking": "SELECT pattern_id, row_number() OVER (ORDER BY round_even(CAST(abs(x) AS DECIMAL(18, 9)), 2) DESC, n_steps DESC, abs(x) DESC, pattern_id) AS rank FROM (SELECT pattern_id, n_steps, round(attr_mean, 9) AS x FROM st JOIN pat USING (pattern_id))",
+    "leader_clusters": "SELECT pattern_id, leader FROM led",
+    "cluster_report": "WITH z AS (SELECT leader, count(*) AS cluster_size, sum(n_carriers) AS cluster_total, any_value(lm) AS leader_mean FROM (SELECT led.*, st.n_carriers, o.attr_mean AS lm FROM led JOIN st USING (pattern_id) JOIN st o ON o.pattern_id = led.leader) GROUP BY leader), y AS (SELECT *, row_number() OVER (ORDER BY abs(leader_mean) DESC, leader) AS cluster_id FROM z) SELECT cluster_id, pattern_id = leader AS is_leader, pattern_id, round(attr_mean, 6) AS attr_mean, n_carriers AS n_present, round(odds_ratio, 6) AS odds_ratio, cluster_size, cluster_total, leader AS leader_pattern, round(leader_mean, 6) AS leader_mean, CASE WHEN leader_mean > 0 THEN 'risk' ELSE 'protective' END AS direction FROM led JOIN st USING (pattern_id) JOIN y USING (leader)",
     "excluded_tokens": "SELECT count(*) AS n FROM tok WHERE token NOT IN ('C:10_C5860', 'D:RX_450958')",
     "flat_positions": "WITH ev AS (SELECT key, token, pos, row_number() OVER (PARTITION BY key ORDER BY pos) AS i FROM tok), f AS (SELECT key, min(pos) AS p FROM ev WHERE token = 'C:10_C5860' GROUP BY key), g AS (SELECT ev.key, f.p, min(pos) AS q FROM ev JOIN f ON f.key = ev.key AND token = 'C:10_E612' AND pos > f.p GROUP BY ev.key, f.p), u AS (SELECT x.key, min(x.pos) AS p, arg_min(y.pos, x.pos) AS q FROM ev x JOIN ev y ON x.key = y.key AND y.i = x.i + 1 AND x.token = 'C:10_C5860' AND y.token = 'C:10_E612' GROUP BY x.key) SELECT 'gapped' AS kind, key, p AS first_pos, q AS last_pos FROM g UNION ALL SELECT 'unbroken', key, p, q FROM u UNION ALL SELECT 'ordered', key, p, q FROM g",
     "event_sessions": "SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n_events, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS tokens FROM (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 6 * 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)) GROUP BY user_id, k",
