@@ -58,6 +58,18 @@ x AS (SELECT a.i AS a, b.i AS b, count(*) AS k FROM e a JOIN e b ON a.c = b.c AN
 SELECT x.a AS pattern_id_a, x.b AS pattern_id_b FROM x JOIN s p ON p.i = x.a JOIN s q ON q.i = x.b WHERE 10 * k >= 7 * (p.n + q.n - k)
 """
 
+# p5_links: classes by the sorted sets themselves, links between their smallest ids.
+_P5_LINKS = """
+WITH e AS (SELECT DISTINCT pattern_id AS i, c FROM (SELECT pattern_id, unnest(_carrier_keys) AS c FROM mined_patterns_train) WHERE c IS NOT NULL AND pattern_id IS NOT NULL),
+s AS (SELECT i, count(*) AS n, list_sort(list(c)) AS l FROM e GROUP BY i HAVING count(*) >= 3),
+k AS (SELECT i, n, min(i) OVER (PARTITION BY l) AS class_id, count(*) OVER (PARTITION BY l) AS class_size FROM s),
+r AS (SELECT e.i, e.c, k.n FROM e JOIN k USING (i) WHERE k.class_id = k.i),
+x AS (SELECT a.i AS a, b.i AS b, any_value(a.n) AS p, any_value(b.n) AS q, count(*) AS k FROM r a JOIN r b ON a.c = b.c AND a.i < b.i GROUP BY ALL),
+m AS (SELECT unnest([a, b]) AS class_id FROM x WHERE 10 * k >= 7 * (p + q - k)),
+t AS (SELECT class_id, count(*) AS n_links FROM m GROUP BY class_id)
+SELECT i AS id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN t USING (class_id)
+"""
+
 _P6 = f"""
 WITH d AS (SELECT DISTINCT {_id("hadm_id")} AS b, {_code("icd_code")} AS i FROM diagnoses WHERE {_id("hadm_id")} IS NOT NULL AND {_code("icd_code")} IS NOT NULL),
 s AS (SELECT {_id("patient_id")} AS p, {_id("index_hadm_id")} AS v, row_number() OVER () AS r, combined_full AS t FROM sequences WHERE combined_full IS NOT NULL),
@@ -89,6 +101,15 @@ best AS (SELECT m.name, min(id) AS id, m.c FROM m JOIN (SELECT name, min(c) AS c
 SELECT map_id, coalesce(arg_min(id, c), 'NONE') AS ingredient_rxcui FROM k LEFT JOIN best USING (name) GROUP BY map_id
 """
 
+# Passages' runs of 18 words met in documents' runs.
+_P8_VERBATIM = r"""
+WITH a AS (SELECT doc_id AS k, string_split(trim(regexp_replace(regexp_replace(lower(text), '[''’‘ʼ`´′]', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id AS k, string_split(trim(regexp_replace(regexp_replace(lower(passage), '[''’‘ʼ`´′]', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_items WHERE passage IS NOT NULL),
+x AS (SELECT DISTINCT k, hash(w[i : i + 17]) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 16)) AS i FROM a WHERE len(w) >= 18)),
+y AS (SELECT DISTINCT k, hash(w[i : i + 17]) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 16)) AS i FROM b WHERE len(w) >= 18))
+SELECT DISTINCT x.k AS doc_id, y.k AS item_id FROM x JOIN y USING (h)
+"""
+
 ORACLES = {
     "p1_found": _P1 + "SELECT pat AS pattern FROM f",
     "p1_support": _P1 + "SELECT pat AS pattern, CAST(len AS INT) AS n_tokens, k AS n_entities, (SELECT count(DISTINCT p) FROM s) AS n_total FROM f",
@@ -96,6 +117,11 @@ ORACLES = {
     "p3_found": _P3 + "SELECT field, value, band FROM r WHERE band != 'normal'",
     "p3_counts": _P3 + "SELECT field, value, n_rows, n_records, band FROM r",
     "p5_found": _P5,
+    "p2_checks": f"SELECT count(*) AS n_records, sum(y) AS n_positive, 0 AS divided_group_id, 0 AS divided_patient_id, 0 AS divided_index_hadm_id, true AS as_planned FROM (SELECT p, h, max(CASE WHEN readmit_30d > 0 THEN 1 ELSE 0 END) AS y FROM (SELECT {_id('patient_id')} AS p, {_id('index_hadm_id')} AS h, readmit_30d FROM samples) WHERE p IS NOT NULL OR h IS NOT NULL GROUP BY p, h)",
+    "p8_verbatim": _P8_VERBATIM,
+    "p9_checks": "SELECT source, true AS as_planned, true AS within_repeats, true AS no_token_twice FROM mix_targets",
+    "p5_links": _P5_LINKS,
+    "p6_scores": _P6 + "SELECT basis, item_a, item_b, n_ab, n_a, n_b, n_baskets, round(l, 6) AS lift, round(ln(l), 6) AS pmi, round(CASE WHEN n_ab < n_baskets THEN ln(l) / -ln(n_ab / n_baskets) ELSE 1 END, 6) AS npmi FROM (SELECT *, CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b) AS l FROM r)",
     "p6_found": _P6 + "SELECT basis, item_a, item_b FROM r",
     "p7_found": _P7,
 }
