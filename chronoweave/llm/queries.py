@@ -45,14 +45,16 @@ def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_checks(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of p2_assigned: one row of counts, of groups and keys that are divided (none), and whether sizes and positives come within two points."""
+    """What must hold of p2_assigned: one row of counts, of groups and keys that are divided (none), and whether every split's records and positives come within two points of its share, or within one record where that is more."""
     a = checkpointed(_assigned(spark, d))
     divided = lambda k: F.count_if(F.col(k) > 1)
     per = lambda k: a.where(F.col(k).isNotNull()).groupBy(k).agg(F.countDistinct("split").alias("n")).agg(divided("n").alias(f"divided_{k}"))
     shares = spark.createDataFrame([("train", 0.7), ("validation", 0.1), ("test", 0.2)], "split string, share double")
     whole = a.agg(F.count("*").alias("n_records"), F.sum("positive").alias("n_positive"))
-    near = split_sizes(a).withColumn("rate", F.col("n_positive") / F.col("n_records")).select("split", "record_share", "rate").join(shares, "split").join(F.broadcast(whole))
-    close = near.agg(F.min((F.abs(F.col("record_share") - F.col("share")) < 0.02) & (F.abs(F.col("rate") - F.col("n_positive") / F.col("n_records")) < 0.02)).alias("as_planned"))
+    near = split_sizes(a).withColumnsRenamed({"n_records": "n", "n_positive": "y"}).select("split", "n", "y").join(shares, "split").join(F.broadcast(whole))
+    off = lambda x, want, of: F.abs(F.col(x) - want) <= F.greatest(F.lit(1.0), 0.02 * F.col(of))
+    fair = off("n", F.col("share") * F.col("n_records"), "n_records") & off("y", F.col("n_positive") * F.col("n") / F.col("n_records"), "n")
+    close = near.agg(F.min(fair).alias("as_planned"))
     return whole.join(per("group_id")).join(per("patient_id")).join(per("index_hadm_id")).join(close)
 
 
