@@ -53,6 +53,11 @@ def readable(token_col: Column | str, title: Column | str) -> Column:
     return F.when(F.length(F.trim(name)) > 0, F.concat(F.trim(name), F.lit(" ("), bare_code(t), F.lit(")"))).otherwise(t)
 
 
+def first_word(text: Column | str) -> Column:
+    """What stands before the first blank."""
+    return F.split_part(_c(text), F.lit(" "), F.lit(1))
+
+
 def abbreviated(title: Column | str, exact: dict[str, str], phrases: list[tuple[str, str]], shortenings: list[tuple[str, str]]) -> Column:
     """A shorter title: an exact entry wins; else the first phrase found is replaced; then all shortenings; then blanks collapse."""
     t = _c(title)

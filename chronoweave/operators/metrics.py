@@ -23,18 +23,19 @@ def _steps(df: DataFrame, score: Column, label: Column) -> DataFrame:
 def curves(df: DataFrame, score: Column, label: Column) -> DataFrame:
     """One row per distinct score, best first: s, tp, fp, tpr, fpr, precision, recall.
 
-    Cumulative counts over an ordered column need a global order: range buckets
-    of the score carry their totals over, and only those totals meet in one task.
+    Cumulative counts over an ordered column need a global order: ranges of about
+    ROWS_PER_BUCKET distinct scores carry their totals over, and only those totals
+    meet in one task.
     """
-    steps = _steps(df, score, label)
+    steps = checkpointed(_steps(df, score, label))
     total = steps.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    cuts = steps.stat.approxQuantile("s", [i / 32 for i in range(1, 32)], 0.01) if not steps.isEmpty() else []
-    cuts = sorted(set(cuts), reverse=True)
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c > F.col("s"))) if cuts else F.lit(0)
-    rows = steps.withColumn("b", bucket)
+    parts = -(-steps.count() // ROWS_PER_BUCKET)
+    rows = steps.withColumn("b", F.lit(0))
+    if parts > 1:
+        rows = checkpointed(steps.repartitionByRange(parts, F.desc("s")).withColumn("b", F.spark_partition_id()))
     inside = W.partitionBy("b").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
     before = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    carry = rows.groupBy("b").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).select("b", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))  # at most 32 rows
+    carry = rows.groupBy("b").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).select("b", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))  # one row per range
     out = rows.withColumn("tp", F.sum("p").over(inside)).withColumn("fp", F.sum("n").over(inside)).join(F.broadcast(carry), "b").withColumn("tp", F.col("tp") + F.col("p0")).withColumn("fp", F.col("fp") + F.col("n0"))
     out = out.join(F.broadcast(total))
     return out.select("s", "p", "n", "tp", "fp", (F.col("tp") / F.nullif("all_p", F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif("all_n", F.lit(0))).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.nullif("all_p", F.lit(0))).alias("recall"))

@@ -54,13 +54,13 @@ def linear_scorer(weights: DataFrame) -> Callable[[DataFrame, list[str]], DataFr
 def validate(patterns: DataFrame, tokens: DataFrame, scorer: Callable[[DataFrame, list[str]], DataFrame], n_draws: int = 5, max_keys: int = 200, seed: int = 42) -> DataFrame:
     """Score drop when a pattern is masked, and when orders are shuffled within and across visits.
 
-    At most max_keys carriers per pattern are perturbed, in key order: a
-    documented sampling parameter of this report. Output per pattern: n_matched,
+    At most max_keys carriers per pattern are perturbed, drawn by a hash of the
+    key: a documented sampling parameter of this report; 0 takes all. Output per pattern: n_matched,
     and for mask, shuffle_within and shuffle_visits the mean drop and the share
     of positive drops; patterns without carriers have n_matched 0 and nulls.
     """
     found = Ma.matched_positions(patterns, tokens)
-    few = found.withColumn("r", F.row_number().over(W.partitionBy("pattern_id").orderBy("key"))).where(F.col("r") <= max_keys).drop("r")
+    few = found.withColumn("r", F.row_number().over(W.partitionBy("pattern_id").orderBy(F.xxhash64(F.lit(seed), "key"), "key"))).where(F.col("r") <= max_keys).drop("r") if max_keys else found
     own = tokens.join(few.select("key").distinct(), "key", "left_semi")
     base = scorer(own, ["key"]).withColumnRenamed("score", "base")
     many = draws(own, n_draws)

@@ -747,7 +747,7 @@ def encoder_training(c: Context) -> DataFrame:
 def path_attributions(c: Context) -> DataFrame:
     """Path attributions of the untrained encoder, summed per sequence."""
     e, m = _encoded(c)
-    return Mo.path_attributions(e, m, 3).groupBy("key").agg(F.count("*").alias("n"), F.sum("attr").alias("attr_sum"))
+    return Mo.path_attributions(e, m, 30).groupBy("key").agg(F.count("*").alias("n"), F.sum("attr").alias("attr_sum"))
 
 
 def kernel_values(c: Context, e: DataFrame, m: Mo.Encoder) -> DataFrame:

@@ -111,3 +111,26 @@ def resume(wanted: DataFrame, path: str, keys: list[str], work, batches: int = 8
     part: Column = F.pmod(F.xxhash64(*keys), F.lit(batches))
     for i in range(batches):
         work(todo.where(part == i)).write.mode("append").parquet(path)
+
+
+def short_names(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(label, short): a short name for readable token labels like `C:I509 (Heart failure)`.
+
+    names: (long, short). The first that is found counts: the label itself, its
+    code, its description, and for cut descriptions one that starts with the same
+    15 characters and is about as long. Without any, the description remains, or
+    the label without its stream. Labels are distinct; null labels are left out;
+    of several names the smallest short one is taken.
+    """
+    code = lambda c: F.nullif(F.regexp_extract(c, r"^([CPD]:[A-Za-z0-9_.]+)(?: |$)", 1), F.lit(""))
+    inner = F.nullif(F.regexp_extract("label", r"^[CPD]:[A-Za-z0-9_.]+ \((.+?)\)*$", 1), F.lit(""))
+    rows = labels.select(F.trim("label").alias("label")).where("label is not null").distinct().withColumn("said", F.coalesce(inner, "label")).withColumn("code", code(F.col("label")))
+    n = names.select(F.trim("long").alias("long"), F.trim("short").alias("short")).where("long is not null and short is not null")
+    start = F.when(F.length("said") > 15, F.left("said", F.lit(15)))
+    keys = F.array(F.struct(F.lit(0).alias("way"), F.col("label").alias("k")), F.struct(F.lit(1), F.col("code")), F.struct(F.lit(2), F.col("said")), F.struct(F.lit(3), start))
+    known = F.array(F.struct(F.lit(0).alias("way"), F.col("long").alias("k")), F.struct(F.lit(1), code(F.col("long"))), F.struct(F.lit(2), F.col("long")), F.struct(F.lit(3), F.left("long", F.lit(15))))
+    a = rows.select("label", "said", F.inline(keys)).where("k is not null")
+    b = n.select("long", "short", F.inline(known)).where("k is not null")
+    met = a.join(b, ["way", "k"]).where((F.col("way") < 3) | (F.abs(F.length("long") - F.length("said")) < 10))
+    best = met.groupBy("label").agg(F.min(F.struct("way", "short")).alias("m")).select("label", F.col("m.short").alias("short"))
+    return rows.join(best, "label", "left").select("label", F.coalesce("short", F.when(F.col("said") != F.col("label"), F.col("said")), F.regexp_replace("label", "^[CPD]:", "")).alias("short"))

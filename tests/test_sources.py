@@ -56,3 +56,10 @@ def test_sessions_batch_and_stream(spark, tmp_path):
     q = St.feed(stream, lambda b, i: got.extend(tuple(r) for r in b.select("user_id", "n_events").collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(got) == [(1, 1), (1, 2)]  # user 3's session is still open at the watermark
+
+
+def test_short_names(spark):
+    labels = spark.createDataFrame([("C:I509 (Heart failure, unspecified)",), ("C:E119 (Type 2 diabetes without compl)",), ("D:aspirin",), ("C:Z999 (Something else)",), ("Long description here that was cu",), (None,)], "label string")
+    names = spark.createDataFrame([("C:I509 (Heart failure)", "HF"), ("Type 2 diabetes without complications", "T2D"), ("Long description here that was cut", "Long"), ("x", None)], "long string, short string")
+    got = {r.label: r.short for r in So.short_names(labels, names).collect()}
+    assert got == {"C:I509 (Heart failure, unspecified)": "HF", "C:E119 (Type 2 diabetes without compl)": "T2D", "D:aspirin": "aspirin", "C:Z999 (Something else)": "Something else", "Long description here that was cu": "Long"}
