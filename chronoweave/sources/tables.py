@@ -127,8 +127,9 @@ def short_names(labels: DataFrame, names: DataFrame) -> DataFrame:
     rows = labels.select(F.trim("label").alias("label")).where("label is not null").distinct().withColumn("said", F.coalesce(inner, "label")).withColumn("code", code(F.col("label")))
     n = names.select(F.trim("long").alias("long"), F.trim("short").alias("short")).where("long is not null and short is not null")
     start = F.when(F.length("said") > 15, F.left("said", F.lit(15)))
-    keys = F.array(F.struct(F.lit(0).alias("way"), F.col("label").alias("k")), F.struct(F.lit(1), F.col("code")), F.struct(F.lit(2), F.col("said")), F.struct(F.lit(3), start))
-    known = F.array(F.struct(F.lit(0).alias("way"), F.col("long").alias("k")), F.struct(F.lit(1), code(F.col("long"))), F.struct(F.lit(2), F.col("long")), F.struct(F.lit(3), F.left("long", F.lit(15))))
+    ways = lambda *by: F.array(*[F.struct(F.lit(i).alias("way"), c.alias("k")) for i, c in enumerate(by)])
+    keys = ways(F.col("label"), F.col("code"), F.col("said"), start)
+    known = ways(F.col("long"), code(F.col("long")), F.col("long"), F.left("long", F.lit(15)))
     a = rows.select("label", "said", F.inline(keys)).where("k is not null")
     b = n.select("long", "short", F.inline(known)).where("k is not null")
     met = a.join(b, ["way", "k"]).where((F.col("way") < 3) | (F.abs(F.length("long") - F.length("said")) < 10))
