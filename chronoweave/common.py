@@ -61,6 +61,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Up to so many rows and characters a lookup table is broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 8_000_000
+
+
+def lookup(df: DataFrame, text: str) -> DataFrame:
+    """`df`, materialised, with the hint for a join against a large table: broadcast within a bound that is counted here, else sort-merge.
+
+    Spark's estimates ignore that an explode multiplies rows, so without a hint
+    the exploded table may be the side that goes through the driver. text: a
+    string column, whose characters are counted too.
+    """
+    kept = checkpointed(df)
+    n, chars = kept.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    return F.broadcast(kept) if n <= BROADCAST_ROWS and chars <= BROADCAST_CHARS else kept.hint("merge")
+
+
 #: White space that regular expressions call \s; taken out by position, which costs less than an expression.
 _BLANKS = " \t\n\x0b\f\r"
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.common import clean_id
+from chronoweave.common import clean_id, lookup
 from chronoweave.functions import stats as S
 from chronoweave.functions import text as X
 
@@ -37,19 +37,30 @@ def token_weights(tokens: DataFrame) -> DataFrame:
     known = tokens.where("y is not null")
     per = known.select("key", "y", "token").distinct().groupBy("token").agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
     totals = known.select("key", "y").distinct().agg(F.count_if(F.col("y") == 1).alias("t1"), F.count_if(F.col("y") == 0).alias("t0"))
+    return _smoothed(per, totals)
+
+
+def _smoothed(per: DataFrame, totals: DataFrame) -> DataFrame:
     a, b = F.col("n_pos"), F.col("n_neg")
     return per.join(F.broadcast(totals)).select("token", "n_pos", "n_neg", F.log(S.odds_ratio(a, b, F.col("t1") - a, F.col("t0") - b)).alias("weight"))
 
 
+def sequence_weights(seq: DataFrame) -> DataFrame:
+    """token_weights of rows (key, y, tokens), each key once: tokens are made distinct inside their row, so only counts are shuffled."""
+    known = seq.where("y is not null").select("y", F.array_distinct(F.filter("tokens", X.is_event)).alias("t"))
+    per = known.select("y", F.explode("t").alias("token")).groupBy("token").agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
+    return _smoothed(per, known.where(F.size("t") > 0).agg(F.count_if(F.col("y") == 1).alias("t1"), F.count_if(F.col("y") == 0).alias("t0")))
+
+
 def linear_attributions(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     """Exact attributions of the linear scorer: a token's weight, scaled by the recency of its visit.
 
     For a linear score, path attributions against the empty baseline are the
-    terms of the sum, so no gradient is needed. Weights are one row per token;
-    the join is left to the optimiser, which broadcasts them when small.
+    terms of the sum, so no gradient is needed. Weights are one row per token:
+    a lookup that is broadcast within its bound, never the tokens.
     """
     recency = (F.col("visit_idx") + 1) / F.greatest(F.lit(1), F.col("n_visits"))
-    return tokens.join(weights.select("token", "weight"), "token").withColumn("attr", F.col("weight") * recency).withColumn("stream", X.stream("token")).drop("weight")
+    return tokens.join(lookup(weights.select("token", "weight"), "token"), "token").withColumn("attr", F.col("weight") * recency).withColumn("stream", X.stream("token")).drop("weight")
 
 
 def scores(attributions: DataFrame, bias: float = 0.0) -> DataFrame:

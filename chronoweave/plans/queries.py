@@ -89,7 +89,7 @@ class Context:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return At.token_weights(self.tokens)
+        return At.sequence_weights(self.seq)
 
     @cached_property
     def attr(self) -> DataFrame:
