@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.common import checkpointed
+from chronoweave.common import checkpointed, lookup
 from chronoweave.functions import arrays as A
 from chronoweave.functions import text as X
 from chronoweave.operators import mining as M
 
 
+def _steps(patterns: DataFrame) -> DataFrame:
+    """(pattern_id, step, token), hinted for joins against matches."""
+    s = patterns.select("pattern_id", F.posexplode("pattern").alias("step", "items")).select("pattern_id", "step", F.explode("items").alias("token"))
+    return lookup(s, "pattern_id")
+
+
 def instance_scores(edges: DataFrame, patterns: DataFrame, block_sums: DataFrame) -> DataFrame:
     """(pattern_id, key, score): summed attribution of a pattern's tokens in the blocks it matched; missing sums count zero."""
-    steps = patterns.select("pattern_id", F.posexplode("pattern").alias("step", "items")).select("pattern_id", "step", F.explode("items").alias("token"))
+    steps = _steps(patterns)
     hits = edges.select("pattern_id", "key", F.posexplode("hits").alias("step", "block_idx"))
-    rows = hits.join(steps, ["pattern_id", "step"]).join(block_sums, ["key", "block_idx", "token"], "left")
+    rows = hits.join(steps, ["pattern_id", "step"]).join(block_sums.hint("merge"), ["key", "block_idx", "token"], "left")
     return rows.groupBy("pattern_id", "key").agg(F.coalesce(F.sum("attr_sum"), F.lit(0.0)).alias("score"))
 
 
@@ -50,7 +56,7 @@ def occurrences(patterns: DataFrame, attributions: DataFrame) -> DataFrame:
     """
     rows = attributions.where("visit_idx >= 0")
     found = M.carriers(patterns, _visit_arrays(rows))
-    steps = patterns.select("pattern_id", F.posexplode("pattern").alias("step", "items")).select("pattern_id", "step", F.explode("items").alias("token"))
+    steps = _steps(patterns)
     first = rows.groupBy("key", "visit_idx", "token").agg(F.min_by("attr", "pos").alias("attr"))
     at = found.select("pattern_id", "key", F.posexplode("hits").alias("step", "visit_idx")).join(steps, ["pattern_id", "step"])
     return at.join(first, ["key", "visit_idx", "token"]).groupBy("pattern_id", "key").agg(F.sum("attr").alias("score"), F.count("*").alias("n_matched"))
@@ -60,7 +66,7 @@ def matched_positions(patterns: DataFrame, tokens: DataFrame) -> DataFrame:
     """(pattern_id, key, positions): every position in a matched visit whose token belongs to the item set matched there."""
     rows = tokens.where("visit_idx >= 0")
     found = M.carriers(patterns, _visit_arrays(rows))
-    steps = patterns.select("pattern_id", F.posexplode("pattern").alias("step", "items")).select("pattern_id", "step", F.explode("items").alias("token"))
+    steps = _steps(patterns)
     at = found.select("pattern_id", "key", F.posexplode("hits").alias("step", "visit_idx")).join(steps, ["pattern_id", "step"])
     return at.join(rows.select("key", "visit_idx", "token", "pos"), ["key", "visit_idx", "token"]).groupBy("pattern_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
 
@@ -120,7 +126,7 @@ def explanation(attributions: DataFrame, edges: DataFrame, patterns: DataFrame,
     w = W.partitionBy("key").orderBy(F.desc(F.abs("attr")), "pos")
     tokens = attributions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("key", F.lit("token").alias("kind"), "rank", F.col("token").alias("name"), F.col("attr").alias("value"))
     total = attributions.groupBy("key").agg(F.sum(F.abs("attr")).alias("total"))
-    mass = instance_scores(edges, patterns, block_sums.withColumn("attr_sum", F.abs("attr_sum"))).join(total, "key")
+    mass = instance_scores(edges, patterns, block_sums.withColumn("attr_sum", F.abs("attr_sum"))).join(total.hint("merge"), "key")
     share = F.col("score") / (F.col("total") + 1e-12)
     ranked = mass.withColumn("value", share).withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc(F.round("value", 9)), "pattern_id")))
     return tokens.unionByName(ranked.where(F.col("rank") <= top).select("key", F.lit("pattern").alias("kind"), "rank", F.col("pattern_id").alias("name"), "value"))
@@ -157,6 +163,6 @@ def exemplars(masses: DataFrame, patterns: DataFrame, n: int = 4, facts: DataFra
 
 def token_means_in_patterns(edges: DataFrame, patterns: DataFrame, block_sums: DataFrame) -> DataFrame:
     """(pattern_id, token, attr_mean): mean attribution of each of a pattern's tokens over the blocks it matched."""
-    steps = patterns.select("pattern_id", F.posexplode("pattern").alias("step", "items")).select("pattern_id", "step", F.explode("items").alias("token"))
+    steps = _steps(patterns)
     hits = edges.select("pattern_id", "key", F.posexplode("hits").alias("step", "block_idx"))
     return hits.join(steps, ["pattern_id", "step"]).join(block_sums, ["key", "block_idx", "token"]).groupBy("pattern_id", "token").agg(F.avg("attr_sum").alias("attr_mean"))

@@ -1,9 +1,12 @@
 """Joins of exploded tables don't go through the driver, whatever their estimates say."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from chronoweave import common
 from chronoweave.operators import attribution as At
+from chronoweave.operators import matching as Ma
 from chronoweave.plans.queries import Context
 
 
@@ -31,3 +34,22 @@ def test_weights_of_rows_are_those_of_tokens(spark, tmp_path):
     c = Context(spark, sequences(spark, tmp_path))
     order = lambda w: w.orderBy("token").select("token", "n_pos", "n_neg", F.round("weight", 12)).collect()
     assert order(At.sequence_weights(c.seq)) == order(At.token_weights(c.tokens)) != []
+
+
+def keyed_broadcasts(df):
+    """Joins by key for which the plan broadcasts a side."""
+    return re.findall(r"BroadcastHashJoin \[[^\]]*\bkey#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def stored(c, folder, name):
+    """A table of the context as parquet: its estimate is then as small as its file."""
+    getattr(c, name).write.parquet(f"{folder}/{name}")
+    return c.spark.read.parquet(f"{folder}/{name}")
+
+
+def test_explanations_broadcast_no_side_by_key(spark, tmp_path):
+    c = Context(spark, sequences(spark, tmp_path))
+    attr, carriers, sums = (stored(c, tmp_path, n) for n in ("attr", "carriers", "block_sums"))
+    out = Ma.explanation(attr, carriers, c.patterns, sums, 5)
+    assert keyed_broadcasts(out) == []
+    assert {r.kind for r in out.collect()} == {"token", "pattern"}
