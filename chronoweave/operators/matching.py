@@ -59,7 +59,7 @@ def occurrences(patterns: DataFrame, attributions: DataFrame) -> DataFrame:
     steps = _steps(patterns)
     first = rows.groupBy("key", "visit_idx", "token").agg(F.min_by("attr", "pos").alias("attr"))
     at = found.select("pattern_id", "key", F.posexplode("hits").alias("step", "visit_idx")).join(steps, ["pattern_id", "step"])
-    return at.join(first, ["key", "visit_idx", "token"]).groupBy("pattern_id", "key").agg(F.sum("attr").alias("score"), F.count("*").alias("n_matched"))
+    return at.join(first.hint("merge"), ["key", "visit_idx", "token"]).groupBy("pattern_id", "key").agg(F.sum("attr").alias("score"), F.count("*").alias("n_matched"))
 
 
 def matched_positions(patterns: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -53,3 +53,12 @@ def test_explanations_broadcast_no_side_by_key(spark, tmp_path):
     out = Ma.explanation(attr, carriers, c.patterns, sums, 5)
     assert keyed_broadcasts(out) == []
     assert {r.kind for r in out.collect()} == {"token", "pattern"}
+
+
+def test_occurrences_broadcast_no_side_by_key(spark, tmp_path):
+    c = Context(spark, sequences(spark, tmp_path))
+    out = Ma.occurrences(c.patterns, stored(c, tmp_path, "attr"))
+    assert keyed_broadcasts(out) == []
+    whole = {(r.pattern_id, r.key): (round(r.score, 9), r.n_matched) for r in out.collect()}
+    one = {r.key: r.s for r in c.attr.where("token = 'C:10_B'").groupBy("key").agg(F.min_by("attr", "pos").alias("s")).collect()}
+    assert {k: v for (p, k), v in whole.items() if p == "C:10_B"} == {k: (round(s, 9), 1) for k, s in one.items()}
