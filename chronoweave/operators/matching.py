@@ -68,7 +68,7 @@ def matched_positions(patterns: DataFrame, tokens: DataFrame) -> DataFrame:
     found = M.carriers(patterns, _visit_arrays(rows))
     steps = _steps(patterns)
     at = found.select("pattern_id", "key", F.posexplode("hits").alias("step", "visit_idx")).join(steps, ["pattern_id", "step"])
-    return at.join(rows.select("key", "visit_idx", "token", "pos"), ["key", "visit_idx", "token"]).groupBy("pattern_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    return at.join(rows.select("key", "visit_idx", "token", "pos").hint("merge"), ["key", "visit_idx", "token"]).groupBy("pattern_id", "key").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
 
 
 def flat_occurrence(sequences: DataFrame, pattern: list[str], contiguous: bool) -> DataFrame:

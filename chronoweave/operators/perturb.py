@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.common import checkpointed, lookup
 from chronoweave.functions import stats as S
 from chronoweave.operators import matching as Ma
 
@@ -22,7 +23,7 @@ def shuffled_within_visits(tokens: DataFrame, seed: int = 42) -> DataFrame:
     g = ["key", "draw", "visit_idx"]
     slot = tokens.select(*g, "pos").withColumn("r", F.row_number().over(W.partitionBy(*g).orderBy("pos")))
     moved = tokens.withColumn("r", F.row_number().over(W.partitionBy(*g).orderBy(F.xxhash64(F.lit(seed), "draw", "key", "pos"), "pos"))).drop("pos")
-    return moved.join(slot, [*g, "r"]).drop("r")
+    return moved.join(slot.hint("merge"), [*g, "r"]).drop("r")
 
 
 def shuffled_visits(tokens: DataFrame, seed: int = 42) -> DataFrame:
@@ -31,21 +32,22 @@ def shuffled_visits(tokens: DataFrame, seed: int = 42) -> DataFrame:
     w = W.partitionBy("key", "draw")
     old = v.withColumn("r", F.row_number().over(w.orderBy("visit_idx"))).withColumnRenamed("visit_idx", "new_idx")
     new = v.withColumn("r", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "draw", "key", "visit_idx"), "visit_idx")))
-    places = new.join(old, ["key", "draw", "r"]).select("key", "draw", "visit_idx", "new_idx")
-    return tokens.join(places, ["key", "draw", "visit_idx"], "left").withColumn("visit_idx", F.coalesce("new_idx", "visit_idx")).drop("new_idx")
+    places = new.join(old.hint("merge"), ["key", "draw", "r"]).select("key", "draw", "visit_idx", "new_idx")
+    return tokens.join(places.hint("merge"), ["key", "draw", "visit_idx"], "left").withColumn("visit_idx", F.coalesce("new_idx", "visit_idx")).drop("new_idx")
 
 
 def masked_tokens(tokens: DataFrame, positions: DataFrame) -> DataFrame:
     """Tokens without the positions of each pattern: rows per (pattern_id, key) of positions(pattern_id, key, positions)."""
-    return tokens.join(positions, "key").where(~F.array_contains("positions", F.col("pos"))).drop("positions")
+    return tokens.join(positions.hint("merge"), "key").where(~F.array_contains("positions", F.col("pos"))).drop("positions")
 
 
 def linear_scorer(weights: DataFrame) -> Callable[[DataFrame, list[str]], DataFrame]:
     """A scorer: (tokens with n_visits, group columns) to (group columns, score)."""
+    known = lookup(weights.select("token", "weight"), "token")
 
     def score(tokens: DataFrame, by: list[str]) -> DataFrame:
         recency = (F.col("visit_idx") + 1) / F.greatest(F.lit(1), F.col("n_visits"))
-        rows = tokens.join(weights.select("token", "weight"), "token")
+        rows = tokens.join(known, "token")
         return rows.groupBy(*by).agg(S.sigmoid(F.sum(F.col("weight") * recency)).alias("score"))
 
     return score
@@ -61,17 +63,18 @@ def validate(patterns: DataFrame, tokens: DataFrame, scorer: Callable[[DataFrame
     """
     found = Ma.matched_positions(patterns, tokens)
     few = found.withColumn("r", F.row_number().over(W.partitionBy("pattern_id").orderBy(F.xxhash64(F.lit(seed), "key"), "key"))).where(F.col("r") <= max_keys).drop("r") if max_keys else found
-    own = tokens.join(few.select("key").distinct(), "key", "left_semi")
+    few = checkpointed(few)  # read five times
+    own = tokens.join(few.select("key").distinct().hint("merge"), "key", "left_semi")
     base = scorer(own, ["key"]).withColumnRenamed("score", "base")
     many = draws(own, n_draws)
-    gone = few.select("pattern_id", "key").join(scorer(masked_tokens(own, few), ["pattern_id", "key"]), ["pattern_id", "key"], "left")
-    mask = gone.join(base, "key").select("pattern_id", "key", (F.col("base") - F.coalesce("score", F.lit(0.5))).alias("mask"))
+    gone = few.select("pattern_id", "key").join(scorer(masked_tokens(own, few), ["pattern_id", "key"]).hint("merge"), ["pattern_id", "key"], "left")
+    mask = gone.join(base.hint("merge"), "key").select("pattern_id", "key", (F.col("base") - F.coalesce("score", F.lit(0.5))).alias("mask"))
 
     def shuffle(moved: DataFrame, name: str) -> DataFrame:
-        s = scorer(moved, ["key", "draw"]).join(base, "key").withColumn("x", F.col("base") - F.col("score"))
+        s = scorer(moved, ["key", "draw"]).join(base.hint("merge"), "key").withColumn("x", F.col("base") - F.col("score"))
         return s.groupBy("key").agg(F.avg("x").alias(name), F.avg((F.col("x") > 0).cast("double")).alias(f"pos_{name}"))
 
-    rows = mask.join(shuffle(shuffled_within_visits(many, seed), "shuffle_within"), "key", "left").join(shuffle(shuffled_visits(many, seed), "shuffle_visits"), "key", "left")
+    rows = mask.join(shuffle(shuffled_within_visits(many, seed), "shuffle_within").hint("merge"), "key", "left").join(shuffle(shuffled_visits(many, seed), "shuffle_visits").hint("merge"), "key", "left")
     out = rows.groupBy("pattern_id").agg(
         F.count("*").alias("n_matched"), F.avg("mask").alias("mean_mask"), F.avg("shuffle_within").alias("mean_shuffle_within"), F.avg("shuffle_visits").alias("mean_shuffle_visits"),
         (100 * F.avg((F.col("mask") > 0).cast("double"))).alias("pct_mask"), (100 * F.avg("pos_shuffle_within")).alias("pct_shuffle_within"), (100 * F.avg("pos_shuffle_visits")).alias("pct_shuffle_visits"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chronoweave import common
 from chronoweave.operators import attribution as At
 from chronoweave.operators import matching as Ma
+from chronoweave.operators import perturb as Pe
 from chronoweave.plans.queries import Context
 
 
@@ -62,3 +63,19 @@ def test_occurrences_broadcast_no_side_by_key(spark, tmp_path):
     whole = {(r.pattern_id, r.key): (round(r.score, 9), r.n_matched) for r in out.collect()}
     one = {r.key: r.s for r in c.attr.where("token = 'C:10_B'").groupBy("key").agg(F.min_by("attr", "pos").alias("s")).collect()}
     assert {k: v for (p, k), v in whole.items() if p == "C:10_B"} == {k: (round(s, 9), 1) for k, s in one.items()}
+
+
+def test_perturbed_tokens_are_no_broadcast(spark, tmp_path):
+    c = Context(spark, sequences(spark, tmp_path))
+    tokens = stored(c, tmp_path, "tokens")
+    assert keyed_broadcasts(Ma.matched_positions(c.patterns, tokens)) == []
+    score = Pe.linear_scorer(c.weights)
+    assert "BuildLeft" not in score(tokens, ["key"])._jdf.queryExecution().executedPlan().toString()
+    many = Pe.draws(tokens, 2)
+    at = tokens.groupBy("key").agg(F.collect_list("pos").alias("positions"))
+    for moved in (Pe.shuffled_within_visits(many), Pe.shuffled_visits(many), Pe.masked_tokens(tokens, at)):
+        assert keyed_broadcasts(moved) == []
+    out = Pe.validate(c.patterns, tokens, score)
+    assert keyed_broadcasts(out) == []
+    n = {r.pattern_id: r.n_matched for r in out.collect()}
+    assert n["C:10_B"] == 40 and None not in n.values()
