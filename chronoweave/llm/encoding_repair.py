@@ -12,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.common import checkpointed
-
 # Single-byte encodings that text is commonly misread in.
 READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866"]
 # Pairs (misread as, true) between single-byte encodings.
@@ -284,13 +282,19 @@ def _misread(text: str, read_as: str, true: str) -> str | None:
     return "".join(_CODECS[read_as][1][x] for x in b)
 
 
+#: Gains at which a margin is tried.
+_CUTS = np.arange(1.0, 40, 0.25)
+
+
 def _trial(shared):
-    """Gains of clean texts, and of the same texts with a piece misread on purpose."""
+    """How many gains of clean texts, and of the same texts with a piece misread on purpose, lie above each cut."""
     never = (math.inf, math.inf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         pairs = [(w, "utf-8") for w in READ_AS] + SWAPPED
+        # Per kind: how many gains there are, after those whose number of cuts below them is the index.
+        counts = np.zeros((4, len(_CUTS) + 2), np.int64)
         for b in batches:
             rows: list[tuple] = []
             for text, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist()):
@@ -303,7 +307,12 @@ def _trial(shared):
                 _, _, u, s, _ = repair(model, text, never)
                 bad = (None, None) if t is None or t == piece else repair(model, text.replace(piece, t), never)[2:4]
                 rows.append((u, s, bad[0] if true == "utf-8" else None, bad[1] if true != "utf-8" else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in range(4)], names=["u", "s", "bad_u", "bad_s"])
+            for k in range(4):
+                gains = [r[k] for r in rows if r[k] is not None]
+                np.add.at(counts[k], np.searchsorted(_CUTS, gains, side="left"), 1)
+                counts[k, -1] += len(gains)
+        kind, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(counts[kind, at])], names=["kind", "at", "n"])
 
     return run
 
@@ -334,20 +343,22 @@ def _cleaner(shared, margins: tuple[float, float]):
     return run
 
 
-def validated_margin(good: np.ndarray, bad: np.ndarray, least: float = 1.0, fallback: float = 6.0) -> float:
-    """The gain that best tells clean texts from misread ones, weighing both kinds of error by rate; never below `least`."""
-    g, b = np.sort(good[~np.isnan(good)]), np.sort(bad[~np.isnan(bad)])
-    if not len(g) or not len(b):
+def validated_margin(good: np.ndarray, bad: np.ndarray, fallback: float = 6.0) -> float:
+    """The gain that best tells clean texts from misread ones, weighing both kinds of error by rate; never below the least cut.
+
+    good, bad: counts of gains by how many cuts lie below them, and last the number of all.
+    """
+    if not good[-1] or not bad[-1]:
         return fallback
-    cuts = np.arange(least, 40, 0.25)
-    wrong = (len(g) - np.searchsorted(g, cuts, side="right")) / len(g)
-    missed = np.searchsorted(b, cuts, side="right") / len(b)
+    # A gain exceeds cut i if more than i cuts lie below it.
+    wrong = 1 - np.cumsum(good[:-2]) / good[-1]
+    missed = np.cumsum(bad[:-2]) / bad[-1]
     loss = 10 * wrong + missed  # clean texts are the many: an error on them weighs ten times
     best = np.flatnonzero(loss <= loss.min() + 1e-12)
-    return float(cuts[best[len(best) // 2]])  # midway between what either kind reaches
+    return float(_CUTS[best[len(best) // 2]])  # midway between what either kind reaches
 
 
-def repair_encoding(docs: DataFrame, doc_id: Column, text: Column, margins: tuple[float, float] | None = None, sample: int = 4000, sample_chars: int = 20_000) -> DataFrame:
+def repair_encoding(docs: DataFrame, doc_id: Column, text: Column, margins: tuple[float, float] | None = None) -> DataFrame:
     """Find texts with stretches decoded by the wrong encoding and restore them where possible.
 
     A smoothed character trigram model is trained on all records that are not
@@ -358,9 +369,9 @@ def repair_encoding(docs: DataFrame, doc_id: Column, text: Column, margins: tupl
     itself in its context: every chain of re-encodings that applies gives a
     candidate, whose gain in log likelihood must exceed a margin (`repair`). The
     margins, one for UTF-8 chains and one for swapped single-byte encodings, are
-    validated on at most `sample` clean records of at most `sample_chars`
-    characters (documented bounds), a piece of each also misread on purpose. Everything else runs over all records and whole
-    texts.
+    validated on all records with non-ASCII characters that are not plainly misread,
+    a piece of each also misread on purpose; only counts of gains between fixed
+    cuts are collected. Everything runs over all records and whole texts.
 
     Output: doc_id, misread, restored (the text as it stands if not misread),
     gain (largest; null without candidates), chains. Lost characters (U+FFFD) mark
@@ -379,13 +390,14 @@ def repair_encoding(docs: DataFrame, doc_id: Column, text: Column, margins: tupl
         return spark.sparkContext.broadcast((t["slot"].to_numpy(np.int64), t["n"].to_numpy(np.float64)))
 
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = checkpointed(foreign.where(F.length("text") <= sample_chars).select("text", h.alias("h")).orderBy("h").limit(sample).repartition(16))
 
     def validated(shared) -> tuple[float, float]:
         if margins:
             return margins
-        t = some.mapInArrow(_trial(shared), "u double, s double, bad_u double, bad_s double").toPandas()
-        return validated_margin(t["u"].to_numpy(), t["bad_u"].to_numpy()), validated_margin(t["s"].to_numpy(), t["bad_s"].to_numpy())
+        n = np.zeros((4, len(_CUTS) + 2), np.int64)
+        for r in foreign.select("text", h.alias("h")).mapInArrow(_trial(shared), "kind bigint, at bigint, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():
+            n[r.kind, r.at] = r.n
+        return validated_margin(n[0], n[2]), validated_margin(n[1], n[3])
 
     first = trained(foreign.select("text"))
     model = trained(foreign.select("text").mapInArrow(_cleaner(first, validated(first)), "text string"))
