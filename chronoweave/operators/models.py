@@ -223,10 +223,7 @@ class Encoder:
         k = len(positions)
         rng = np.random.default_rng(seed)
         z = np.vstack([np.zeros(k, int), np.ones(k, int), rng.integers(0, 2, (samples, k))])
-        masked = np.repeat(ids[None], len(z), 0)
-        for j, p in enumerate(positions):
-            masked[z[:, j] == 0, p] = PAD
-        f = self.logits(masked)
+        f = self._without(ids, positions, z)
         size = z.sum(1)
         from math import comb
 
@@ -234,6 +231,35 @@ class Encoder:
         a = np.hstack([np.ones((len(z), 1)), z]) * np.sqrt(wt)[:, None]
         return np.linalg.lstsq(a, f * np.sqrt(wt), rcond=None)[0][1:]
 
+    def _without(self, ids: np.ndarray, positions: list[int], z: np.ndarray) -> np.ndarray:
+        """Logits of the sequence for each row of z, without the positions where it is 0.
+
+        In one layer only the first position attends, and what is masked drops out
+        of its attention: so every position's key and value are computed once, and
+        each subset is a sum over them.
+        """
+        if self.layers == 1 and 0 not in positions and ids[0] != PAD:
+            w, dim, d = self.w, self.w["tok"].shape[1], self.w["tok"].shape[1] // self.heads
+            x = _norm(self.embed(ids) + w["pos"][: len(ids)], w["emb_g"], w["emb_b"])
+            h = _norm(x, w["n1_g0"], w["n1_b0"])
+            q, k, v = (t.reshape(len(t), self.heads, d) for t in np.split(h @ w["qkv_w0"] + w["qkv_b0"], 3, axis=1))
+            a = np.einsum("hd,lhd->lh", q[0], k) / np.sqrt(d)
+            a = np.where(ids[:, None] == PAD, 0.0, np.exp(a - a[ids != PAD].max(0)))
+            terms = np.concatenate([a, (a[:, :, None] * v).reshape(len(ids), dim)], axis=1)
+            rest = np.ones(len(ids), bool)
+            rest[positions] = False
+            total = terms[rest].sum(0) + z @ terms[positions]
+            if total[:, : self.heads].min() > 1e-100:
+                mixed = (total[:, self.heads :].reshape(-1, self.heads, d) / total[:, : self.heads, None]).reshape(-1, dim)
+                mid = x[0] + mixed @ w["out_w0"] + w["out_b0"]
+                up = _norm(mid, w["n2_g0"], w["n2_b0"]) @ w["up_w0"] + w["up_b0"]
+                y = mid + np.maximum(up, 0) @ w["down_w0"] + w["down_b0"]
+                return (np.maximum(y @ w["head_w0"] + w["head_b0"], 0) @ w["head_w1"] + w["head_b1"])[:, 0]
+        masked = np.repeat(ids[None], len(z), 0)
+        for j, p in enumerate(positions):
+            masked[z[:, j] == 0, p] = PAD
+        return self.logits(masked)
+
     def expected_gradients(self, ids: np.ndarray, background: np.ndarray, seed: int = 0, draws: int = 8) -> np.ndarray:
         """Path attributions averaged over random background sequences and path points."""
         rng = np.random.default_rng(seed)
@@ -377,6 +403,40 @@ def kernel_attributions(encoded: DataFrame, positions: DataFrame, encoder: Encod
     return _over(encoded.join(p, "key").select("key", "input_ids", "positions"), encoder, "key string, pos int, value double", one, 8)
 
 
+def token_comparison(encoded: DataFrame, encoder: Encoder, n: int = 15, specials: int = 3, samples: int = 200) -> DataFrame:
+    """Per id of (key, input_ids): n_path, path, n_kernel, kernel: counts and means of both attributions, ids of both kinds only.
+
+    The kernel values are those of each key's n positions of largest absolute path
+    attribution, ties by position, of ids from `specials` on. A sequence is
+    attributed once and each task hands on sums by id only.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(encoder)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = shared.value
+        size = len(e.w["tok"])
+        sums, counts = np.zeros((2, size)), np.zeros((2, size), np.int64)
+        for pdf in pdfs:
+            for x in pdf["input_ids"]:
+                if x is None or not len(x):
+                    continue
+                ids = np.asarray(x, np.int64)
+                attr = e.integrated(ids)
+                np.add.at(sums[0], ids, attr)
+                np.add.at(counts[0], ids, 1)
+                at = np.flatnonzero(ids >= specials)
+                if len(at):
+                    pos = np.sort(at[np.argsort(-np.abs(attr[at]), kind="stable")[:n]])
+                    np.add.at(sums[1], ids[pos], e.shapley_kernel(ids, list(pos), samples))
+                    np.add.at(counts[1], ids[pos], 1)
+        some = np.flatnonzero(counts[0])
+        yield pd.DataFrame({"id": some, "n_path": counts[0, some], "path": sums[0, some], "n_kernel": counts[1, some], "kernel": sums[1, some]})
+
+    rows = encoded.select("input_ids").mapInPandas(run, "id long, n_path long, path double, n_kernel long, kernel double")
+    total = rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_path", "path", "n_kernel", "kernel")]).where("n_kernel > 0")
+    return total.select("id", "n_path", (F.col("path") / F.col("n_path")).alias("path"), "n_kernel", (F.col("kernel") / F.col("n_kernel")).alias("kernel"))
+
+
 def global_gradients(encoded: DataFrame, encoder: Encoder, background: list[list[int]]) -> DataFrame:
     """(token_id, n, value): expected gradients averaged per occurrence. background: a bounded list of sequences."""
     bg = _padded([list(b) for b in background[:20]])

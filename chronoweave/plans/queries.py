@@ -767,10 +767,7 @@ def kernel_attributions(c: Context) -> DataFrame:
 def attribution_comparison(c: Context) -> DataFrame:
     """Per token: how often it occurs, and its mean path and mean kernel attribution side by side, with the ranks by size."""
     e, m = _encoded(c)
-    e = checkpointed(e)
-    tokens = e.select("key", F.posexplode("input_ids").alias("pos", "id"))
-    per = lambda df, col, name: df.join(tokens, ["key", "pos"]).groupBy("id").agg(F.avg(col).alias(name), F.count("*").alias(f"n_{name}"))
-    both = per(Mo.path_attributions(e, m), "attr", "path").join(per(kernel_values(c, e, m), "value", "kernel"), "id")
+    both = Mo.token_comparison(e, m, 15, len(X.SPECIALS))
     names = Co.vocabulary(c.tokens).select("id", "token")
     return both.join(names, "id").select("token", F.col("n_path").alias("n_present"), "path", "kernel", (F.signum("path") == F.signum("kernel")).alias("same_sign"))
 
