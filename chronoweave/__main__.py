@@ -63,7 +63,7 @@ def kernel(c: queries.Context, out: str, batches: int = 10) -> None:
     for k in range(batches):
         path = os.path.join(out, f"batch-{k}-of-{batches}")
         if not So._exists(c.spark, os.path.join(path, "_SUCCESS")):
-            So.save(queries.kernel_values(c, e.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k), m), path)
+            So.save(queries.kernel_values(c, e.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k), m, 15), path)
 
 
 COMMANDS = {f.__name__: f for f in (preprocess, train, run, risk, compare, kernel)}

@@ -8,6 +8,7 @@ results are no claim of parity with any published model.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,30 @@ from pyspark.sql import functions as F
 
 PAD = 0
 
+#: Up to so many positions uniformly drawn subsets are of all sizes; of more, nearly all are about half.
+UNIFORM = 15
+
+
+@lru_cache(maxsize=1)
+def _subsets(k: int, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subsets of k positions [M, K] for the Shapley kernel, and what solves its regression: the weights [K, M] of the values, and the direction [K] that makes up the sum.
+
+    All subsets of one position, and all but one, are there; the sizes between are
+    drawn as the kernel weighs them, each subset with its complement, so that
+    effects of pairs of positions are split without error. Depends on no
+    sequence: the last one is kept, for sequences in the order of k.
+    """
+    rng = np.random.default_rng(seed)
+    s = np.arange(1, k)
+    weight = (k - 1) / (s * (k - s))  # of all subsets of a size together
+    inner = weight[1:-1]
+    size = rng.choice(s[1:-1], -(-draws // 2), p=inner / inner.sum())
+    few = (rng.random((len(size), k)).argsort(1).argsort(1) < size[:, None]).astype(float)
+    z = np.vstack([np.eye(k), 1 - np.eye(k), few, 1 - few])
+    wt = np.concatenate([np.full(2 * k, weight[0] / k), np.full(2 * len(few), inner.sum() / (2 * len(few)))])
+    solved = np.linalg.solve((z.T * wt) @ z, np.hstack([z.T * wt, np.ones((k, 1))]))
+    return z, solved[:, :-1], solved[:, -1] / solved[:, -1].sum()
+
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
     """Adds `weight`: negatives per positive for positives, one for the rest."""
@@ -219,8 +244,18 @@ class Encoder:
         return np.where(pad, 0.0, out)
 
     def shapley_kernel(self, ids: np.ndarray, positions: list[int], samples: int = 200, seed: int = 0) -> np.ndarray:
-        """Kernel-weighted regression over masked subsets of the positions; the other tokens stay."""
+        """Kernel-weighted regression over masked subsets of the positions; the other tokens stay.
+
+        Any number of positions: beyond UNIFORM the subsets grow with them, `samples`
+        for each UNIFORM positions, and are drawn by size (_subsets); the values then
+        add up to the change of the logit exactly.
+        """
         k = len(positions)
+        if k > UNIFORM:
+            z, by, sum_by = _subsets(k, -(-samples * k // UNIFORM), seed)
+            f = self._without(ids, positions, np.vstack([np.zeros((1, k)), np.ones((1, k)), z]))
+            value = by @ (f[2:] - f[0])
+            return value + sum_by * (f[1] - f[0] - value.sum())
         rng = np.random.default_rng(seed)
         z = np.vstack([np.zeros(k, int), np.ones(k, int), rng.integers(0, 2, (samples, k))])
         f = self._without(ids, positions, z)
@@ -258,7 +293,7 @@ class Encoder:
         masked = np.repeat(ids[None], len(z), 0)
         for j, p in enumerate(positions):
             masked[z[:, j] == 0, p] = PAD
-        return self.logits(masked)
+        return np.concatenate([self.logits(masked[i : i + 64]) for i in range(0, len(z), 64)])
 
     def expected_gradients(self, ids: np.ndarray, background: np.ndarray, seed: int = 0, draws: int = 8) -> np.ndarray:
         """Path attributions averaged over random background sequences and path points."""
@@ -391,7 +426,7 @@ def path_attributions(encoded: DataFrame, encoder: Encoder, steps: int = 16) ->
 
 
 def kernel_attributions(encoded: DataFrame, positions: DataFrame, encoder: Encoder, samples: int = 200) -> DataFrame:
-    """(key, pos, value) for the given (key, pos), at most 15 positions per key by contract of the caller."""
+    """(key, pos, value) for the given (key, pos), any number of positions per key."""
     p = positions.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
 
     def one(e: Encoder, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -403,11 +438,10 @@ def kernel_attributions(encoded: DataFrame, positions: DataFrame, encoder: Encod
     return _over(encoded.join(p, "key").select("key", "input_ids", "positions"), encoder, "key string, pos int, value double", one, 8)
 
 
-def token_comparison(encoded: DataFrame, encoder: Encoder, n: int = 15, specials: int = 3, samples: int = 200) -> DataFrame:
-    """Per id of (key, input_ids): n_path, path, n_kernel, kernel: counts and means of both attributions, ids of both kinds only.
+def token_comparison(encoded: DataFrame, encoder: Encoder, specials: int = 3, samples: int = 200) -> DataFrame:
+    """Per id of (key, input_ids) from `specials` on: n_path, path, n_kernel, kernel: counts and means of both attributions.
 
-    The kernel values are those of each key's n positions of largest absolute path
-    attribution, ties by position, of ids from `specials` on. A sequence is
+    The kernel values, too, are those of every position of such ids. A sequence is
     attributed once and each task hands on sums by id only.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(encoder)
@@ -417,16 +451,12 @@ def token_comparison(encoded: DataFrame, encoder: Encoder, n: int = 15, specials
         size = len(e.w["tok"])
         sums, counts = np.zeros((2, size)), np.zeros((2, size), np.int64)
         for pdf in pdfs:
-            for x in pdf["input_ids"]:
-                if x is None or not len(x):
-                    continue
-                ids = np.asarray(x, np.int64)
-                attr = e.integrated(ids)
-                np.add.at(sums[0], ids, attr)
+            known = [np.asarray(x, np.int64) for x in pdf["input_ids"] if x is not None and len(x)]
+            for ids in sorted(known, key=lambda ids: (ids >= specials).sum()):  # as many positions, the same subsets
+                np.add.at(sums[0], ids, e.integrated(ids))
                 np.add.at(counts[0], ids, 1)
-                at = np.flatnonzero(ids >= specials)
-                if len(at):
-                    pos = np.sort(at[np.argsort(-np.abs(attr[at]), kind="stable")[:n]])
+                pos = np.flatnonzero(ids >= specials)
+                if len(pos):
                     np.add.at(sums[1], ids[pos], e.shapley_kernel(ids, list(pos), samples))
                     np.add.at(counts[1], ids[pos], 1)
         some = np.flatnonzero(counts[0])

@@ -750,24 +750,25 @@ def path_attributions(c: Context) -> DataFrame:
     return Mo.path_attributions(e, m, 30).groupBy("key").agg(F.count("*").alias("n"), F.sum("attr").alias("attr_sum"))
 
 
-def kernel_values(c: Context, e: DataFrame, m: Mo.Encoder) -> DataFrame:
-    """Masked-subset attributions of each sequence's 15 clinical tokens of largest absolute path attribution."""
+def kernel_values(c: Context, e: DataFrame, m: Mo.Encoder, n: int = 0) -> DataFrame:
+    """Masked-subset attributions of each sequence's clinical tokens: of the n of largest absolute path attribution, or with 0 of all."""
     specials = c.spark.createDataFrame([(i,) for i in range(len(X.SPECIALS))], "id int")
     events = e.select("key", F.posexplode("input_ids").alias("pos", "id")).join(F.broadcast(specials), "id", "left_anti").select("key", "pos")
-    top = At.largest(checkpointed(Mo.path_attributions(e, m)).join(events, ["key", "pos"]), 15)
-    return Mo.kernel_attributions(e, top.select("key", "pos"), m)
+    if n:
+        events = At.largest(checkpointed(Mo.path_attributions(e, m)).join(events, ["key", "pos"]), n)
+    return Mo.kernel_attributions(e, events.select("key", "pos"), m)
 
 
 @query
 def kernel_attributions(c: Context) -> DataFrame:
-    return kernel_values(c, *_encoded(c))
+    return kernel_values(c, *_encoded(c), 15)
 
 
 @query
 def attribution_comparison(c: Context) -> DataFrame:
-    """Per token: how often it occurs, and its mean path and mean kernel attribution side by side, with the ranks by size."""
+    """Per token: how often it occurs, and its mean path and mean kernel attribution side by side, each over all its positions."""
     e, m = _encoded(c)
-    both = Mo.token_comparison(e, m, 15, len(X.SPECIALS))
+    both = Mo.token_comparison(e, m, len(X.SPECIALS))
     names = Co.vocabulary(c.tokens).select("id", "token")
     return both.join(names, "id").select("token", F.col("n_path").alias("n_present"), "path", "kernel", (F.signum("path") == F.signum("kernel")).alias("same_sign"))
 
