@@ -658,7 +658,8 @@ def bootstrap_intervals(c: Context) -> DataFrame:
 
 @query
 def perturbation_validation(c: Context) -> DataFrame:
-    return Pe.validate(c.patterns, c.tokens, Pe.linear_scorer(c.weights))
+    """Every carrier of every pattern; the library's number of draws where a sequence's visits have more orders than that."""
+    return Pe.validate(c.patterns, c.tokens, Pe.linear_scorer(c.weights), Config().n_draws)
 
 
 def _held_out(c: Context, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
